@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OPS = {
     "op3_quality_rules": "quality_rules",
+    "op9_quality_classifier": "quality_net",
 }
 
 
