@@ -18,7 +18,7 @@ from .common import arrow_pass, labelled_sample, platt, sigmoid, texts_of
 BITS = 18
 CHAR_N = (2, 3, 4)
 #: Rows of each class in the fit, and the verdict's fixed threshold.
-FIT_ROWS = 4000
+FIT_ROWS = 2000
 KEEP_FROM = 0.5
 MIN_WORDS, MAX_REPEATED = 10, 20
 SYMBOLS = b"#*$%&|<>"
@@ -148,8 +148,12 @@ def fit(sample: list[tuple[int, str, int]], epochs: int = 12, rate: float = 20.0
     taken = [seen.take(words) for words in split]
     names = [*seen.new]
     seen.learn()
-    owner, features = grams(names)
-    start = np.searchsorted(owner, np.arange(len(names) + 1))
+    features, sizes = [], []
+    for i in range(0, len(names), 20_000):  # in parts, as the grams of all words take much memory
+        owner, f = grams(part := names[i : i + 20_000])
+        features.append(f.astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(part)))
+    features, start = np.concatenate(features), np.cumsum([0, *np.concatenate(sizes)])
     own = word_feature(seen.hash)
     rows = []
     for ids in taken:
@@ -160,7 +164,7 @@ def fit(sample: list[tuple[int, str, int]], epochs: int = 12, rate: float = 20.0
         f = np.concatenate([features[at], own[distinct], pair_feature(h[:-1], h[1:])])
         value = np.concatenate([np.repeat(counts, size), counts, np.ones(max(0, len(h) - 1))]) / max(1, len(ids))
         u, inv = np.unique(f, return_inverse=True)
-        rows.append((u, np.bincount(inv, value, len(u))))
+        rows.append((u.astype(np.int32), np.bincount(inv, value, len(u)).astype(np.float32)))
     order = np.random.default_rng(5)
     train = [i for i in range(len(rows)) if i % 5]
     held = [i for i in range(len(rows)) if i % 5 == 0]
