@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _OPS = {
+    "op1_toxicity": "toxicity",
     "op3_quality_rules": "quality_rules",
     "op9_quality_classifier": "quality_net",
 }
