@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _OPS = {
     "op1_toxicity": "toxicity",
     "op3_quality_rules": "quality_rules",
+    "op5_secret_scan": "secret_scan",
     "op9_quality_classifier": "quality_net",
 }
 
