@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _OPS = {
+    "op2_packing": "packing",
     "op1_toxicity": "toxicity",
     "op3_quality_rules": "quality_rules",
     "op5_secret_scan": "secret_scan",
