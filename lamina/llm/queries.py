@@ -12,6 +12,7 @@ _OPS = {
     "op1_toxicity": "toxicity",
     "op3_quality_rules": "quality_rules",
     "op5_secret_scan": "secret_scan",
+    "op6_minhash": "minhash",
     "op7_bpe": "bpe",
     "op9_quality_classifier": "quality_net",
 }
