@@ -11,6 +11,7 @@ _OPS = {
     "op2_packing": "packing",
     "op1_toxicity": "toxicity",
     "op3_quality_rules": "quality_rules",
+    "op4_vector_dedup": "vector_dedup",
     "op5_secret_scan": "secret_scan",
     "op6_minhash": "minhash",
     "op7_bpe": "bpe",
