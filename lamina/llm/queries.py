@@ -16,6 +16,7 @@ _OPS = {
     "op6_minhash": "minhash",
     "op7_bpe": "bpe",
     "op9_quality_classifier": "quality_net",
+    "op10_chat_format": "chat",
 }
 
 
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat_format": import_module(f"{__package__}.chat").ORACLE}
