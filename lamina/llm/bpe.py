@@ -39,7 +39,7 @@ def newer_characters() -> regex.Pattern:
 
 
 #: Pieces of text kept with their ids by a worker: two generations of so many, of which the older goes. Longer pieces are not kept.
-MEMORY, KEPT_CHARS = 250_000, 64
+MEMORY, KEPT_CHARS = 350_000, 64
 #: Symbols that the trees merged at once may hold together.
 AT_ONCE = 1 << 20
 NONE = np.int64(1) << np.int64(60)
@@ -156,46 +156,50 @@ class Codec:
     """Encodes and decodes whole texts, keeping the ids of pieces of text met before.
 
     A piece is a stretch between single spaces, with its leading space. The pattern never
-    joins text across such a space, unless spaces meet: those texts are split as a whole."""
+    joins text across such a space, unless spaces meet: those texts are split as a whole.
+    A str key stands for a piece with a space before it, a bytes key for the piece as it is,
+    an int for a special token."""
 
     def __init__(self, path: str):
         self.v = Vocabulary(path)
-        self.kept: dict[str, tuple[str, bytes, int]] = {}
-        self.older: dict[str, tuple[str, bytes, int]] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if "  " in text:
-            return self.split(text)
-        head, *rest = text.split(" ")
-        return [*([head] if head else []), *(" " + x for x in rest)]
+        self.special = {i: (str(i), self.v.bytes[i]) for i in self.v.special.values()}
+        self.ids: dict = {}
+        self.raw: dict = {}
+        self.older: tuple[dict, dict] = ({}, {})
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens. Characters that the pattern engine counts as letters or digits, but the vocabulary's older Unicode doesn't know, are none."""
-        if text.isascii() or not (newer := newer_characters()).search(text):
+        if text.isascii() or max(text) < "\u0530" or not (newer := newer_characters()).search(text):
             return PATTERN.findall(text)
         return [text[m.start() : m.end()] for m in PATTERN.finditer(newer.sub("\u0378", text))]
 
-    def parts(self, text: str) -> list[str | int]:
-        """Pieces of the text, and ids of the special tokens in it."""
-        if not self.v.stop or not self.v.stop.search(text):
-            return self.pieces(text)
+    def pieces(self, text: str) -> list:
+        if "  " in text:
+            return [t.encode() for t in self.split(text)]
+        head, *rest = text.split(" ")
+        return [head.encode(), *rest] if head else rest
+
+    def parts(self, text: str) -> list:
+        """Keys of the pieces of the text, and ids of the special tokens in it."""
+        if not self.v.stop or "<|" not in text or not self.v.stop.search(text):
+            return self.pieces(text) if text else []
         out, at = [], 0
         for m in self.v.stop.finditer(text):
-            out += [*self.pieces(text[at : m.start()]), self.v.special[m[0]]]
+            out += [*(self.pieces(text[at : m.start()]) if m.start() > at else []), self.v.special[m[0]]]
             at = m.end()
-        return out + self.pieces(text[at:])
+        return out + (self.pieces(text[at:]) if at < len(text) else [])
 
-    def learn(self, pieces: set[str]) -> dict[str, tuple[str, bytes, int]]:
-        """What each piece encodes to: ids as text, the bytes they decode to, how many they are."""
-        named = sorted(pieces)
-        split = [[t.encode() for t in self.split(p)] for p in named]
+    def learn(self, keys: list) -> tuple[dict, dict]:
+        """What each piece encodes to: its ids as text, and the bytes that these ids decode to."""
+        split = [[t.encode() for t in self.split(k.decode() if k.__class__ is bytes else " " + k)] for k in keys]
         tokens = list({t for s in split for t in s})
         ids = dict(zip(tokens, merge_all(self.v, tokens), strict=True))
-        out = {}
-        for p, s in zip(named, split, strict=True):
-            every = [i for t in s for i in ids[t]]
-            out[p] = (",".join(map(str, every)), self.decode_bytes(every), len(every))
-        return out
+        written = {t: ",".join(map(str, i)) for t, i in ids.items()}
+        back = {t: self.decode_bytes(i) for t, i in ids.items()}
+        return (
+            {k: ",".join([written[t] for t in s]) for k, s in zip(keys, split, strict=True)},
+            {k: b"".join([back[t] for t in s]) for k, s in zip(keys, split, strict=True)},
+        )
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join([self.v.bytes[i] for i in ids])
@@ -203,23 +207,24 @@ class Codec:
     def run(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text the number of ids, the ids as text, and the decoded text."""
         parts = [self.parts(t) for t in texts]
-        wanted = {p for s in parts for p in s if p.__class__ is str}
-        if len(self.kept) > MEMORY:
-            self.kept, self.older = {}, self.kept
-        missing = wanted - self.kept.keys()
-        again = missing & self.older.keys()
-        self.kept |= {p: self.older[p] for p in again}
-        found = self.learn(missing - again)
-        self.kept |= {p: x for p, x in found.items() if len(p) <= KEPT_CHARS}
-        long = {p: x for p, x in found.items() if len(p) > KEPT_CHARS}
-        special = {i: (str(i), self.v.bytes[i], 1) for i in self.v.special.values()}
-        kept, out = self.kept, []
+        wanted = set().union(*parts)
+        if len(self.ids) > MEMORY:
+            self.ids, self.raw, self.older = {}, {}, (self.ids, self.raw)
+        missing = wanted - self.ids.keys() - self.special.keys()
+        again = missing & self.older[0].keys()
+        for kept, old in zip((self.ids, self.raw), self.older, strict=True):
+            kept.update((k, old[k]) for k in again)
+        ids, raw = self.learn(list(missing - again))
+        long = [k for k in ids if len(k) > KEPT_CHARS]
+        special = [k for k in wanted if k.__class__ is int]
+        self.ids |= ids | {k: self.special[k][0] for k in special}
+        self.raw |= raw | {k: self.special[k][1] for k in special}
+        id_of, raw_of, out = self.ids.__getitem__, self.raw.__getitem__, []
         for s in parts:
-            try:
-                rows = [kept[p] for p in s]
-            except KeyError:
-                rows = [kept.get(p) or long.get(p) or special[p] for p in s]
-            out.append((sum([r[2] for r in rows]), ",".join([r[0] for r in rows]), b"".join([r[1] for r in rows]).decode("utf-8", "replace")))
+            written = ",".join(map(id_of, s))
+            out.append((written.count(",") + 1 if s else 0, written, b"".join(map(raw_of, s)).decode("utf-8", "replace")))
+        for k in long:
+            del self.ids[k], self.raw[k]
         return out
 
     def encode(self, text: str) -> list[int]:
