@@ -15,6 +15,7 @@ _OPS = {
     "op5_secret_scan": "secret_scan",
     "op6_minhash": "minhash",
     "op7_bpe": "bpe",
+    "op8_lm_score": "lm_score",
     "op9_quality_classifier": "quality_net",
     "op10_chat_format": "chat",
 }
