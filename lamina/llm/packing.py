@@ -27,7 +27,7 @@ CAPACITY, SEPARATOR = 4096, 1
 #: Rounds of the program, pricings in each, and the rate of the weights.
 ROUNDS, PRICINGS, ETA = 16, 3, 0.5
 #: Words kept with their ids by a worker: two generations of so many, of which the older goes.
-MEMORY, KEPT_BYTES = 250_000, 48
+MEMORY, KEPT_BYTES = 500_000, 48
 #: Words whose lower case and normal form are plain, and how the vocabulary's published pattern splits them.
 PLAIN = regex.compile(r"[\x21-\x7e\u00c0-\u012f\u0131-\u017f]+")
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -57,7 +57,7 @@ class Tokens:
         """Ids of each word. Plain words are encoded many in a row, which takes half the time: the
         last id of each pre-token is marked as an end, and a word's pre-tokens are counted."""
         named = [w.decode() for w in words]
-        plain = [w for w in named if PLAIN.fullmatch(w) and "<|" not in w]
+        plain = [w for w in named if (w.isascii() and w.isprintable() or PLAIN.fullmatch(w)) and "<|" not in w]
         found = {}
         for i in range(0, len(plain), IN_A_ROW):
             part = plain[i : i + IN_A_ROW]
@@ -81,12 +81,13 @@ class Tokens:
         missing = wanted - self.kept.keys()
         again = missing & self.older.keys()
         self.kept |= {w: self.older[w] for w in again}
-        found = self.encoded(sorted(missing - again))
-        self.kept |= {w: b for w, b in found.items() if len(w) <= KEPT_BYTES}
-        if all(len(w) <= KEPT_BYTES for w in found):
-            return [b"".join(map(self.kept.__getitem__, s)) for s in split]
-        every = self.kept | found
-        return [b"".join(map(every.__getitem__, s)) for s in split]
+        found = self.encoded(list(missing - again))
+        self.kept |= found
+        out = [b"".join(map(self.kept.__getitem__, s)) for s in split]
+        for w in found:
+            if len(w) > KEPT_BYTES:
+                del self.kept[w]
+        return out
 
 
 @lru_cache(maxsize=2)
