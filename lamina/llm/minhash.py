@@ -3,8 +3,8 @@
 Two permutations give all coordinates: the first scatters a shingle over the 32-bit
 circle, the second, shifted by k around it, orders shingles for coordinate k. Bands of
 coordinates are buckets. Texts with equal shingle sets form a class that only its
-smallest id represents. In each bucket every member is first held against the smallest;
-members not linked to it, even by way of others, are then held against all the rest.
+smallest id represents. In each bucket every member is first held against one centre, and
+again against others, until few pairs are left that no links join; those are all compared.
 Pairs whose signatures agree too little are dropped (five standard errors below the
 bound), all others are confirmed on their full sets.
 """
@@ -25,6 +25,8 @@ BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 #: Pairs whose signatures agree in a smaller share of coordinates are no candidates.
 AGREE = 0.6
+#: Families of bands with a centre of their own, turns with centres at most, and pairs for each member that count as few.
+CENTRES, TURNS, FEW = 4, 6, 4
 #: Words kept with their hashes by a worker; beyond, the memory starts anew.
 MEMORY = 400_000
 #: Shingles hashed at once, so that the arrays stay in cache.
@@ -186,6 +188,40 @@ def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b").distinct()
 
 
+def linked(members: DataFrame, reps: DataFrame, documents: DataFrame) -> DataFrame:
+    """(node, component) from the buckets' members (band, key, id): every pair of a bucket is confirmed, refused, or joined by other links."""
+    size, links, tested, found = members.count(), None, None, None
+    for turn in range(TURNS + 1):
+        named = members.withColumn("c", F.col("id"))
+        if found is not None:
+            label = found.select(F.col("node").alias("id"), F.col("component").alias("l"))
+            named = members.join(label, "id", "left").withColumn("c", F.coalesce("l", "id")).drop("l")
+        # A bucket's centre differs between CENTRES families of bands and between turns, so that few members miss all.
+        named = checkpointed(named.withColumn("o", F.xxhash64("id", F.col("band") % CENTRES, F.lit(turn))))
+        parts = named.groupBy("key", "c").agg(F.count("*").alias("m"), F.min(F.struct("o", "id")).alias("s"))
+        whole = parts.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.max(F.struct("m", "c")).alias("main"), F.min(F.struct("s.o", "s.id", "c")).alias("centre"), F.count("*").alias("parts"))
+        whole = checkpointed(whole.where("parts > 1").select("key", F.col("n") * F.col("n") - F.col("q"), F.col("main.c").alias("cm"), F.col("centre.id").alias("x"), F.col("centre.c").alias("cx")).toDF("key", "open", "cm", "x", "cx"))
+        left = whole.agg(F.sum("open").alias("n")).first().n or 0
+        last = turn == TURNS or (turn and left <= FEW * size)
+        if last:
+            stray = named.join(whole, "key").where("c <> cm").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
+        else:
+            stray = whole.select("key", "x", "cx")
+        pairs = stray.join(named, "key").where("id <> x and c <> cx").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = checkpointed(pairs)
+        tested = pairs if tested is None else tested.unionAll(pairs)
+        some = checkpointed(agreeing(pairs, reps))
+        if not some.isEmpty():
+            more = checkpointed(confirmed(some, documents))
+            links = more if links is None else links.unionAll(more)
+            found = components(links)
+        if last or not left:
+            break
+    return components(tested.limit(0)) if found is None else found
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -196,25 +232,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     rows = checkpointed(signed(documents))
     first = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "bands", "low")).alias("s"))
     reps = checkpointed(first.select("d1", "d2", "s.*"))
-    buckets = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
-    several = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
+    buckets = reps.select(F.posexplode("bands").alias("band", "key"), F.col("doc_id").alias("id"))
+    several = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     members = checkpointed(buckets.join(several, "key"))
-
-    star = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    links = checkpointed(confirmed(checkpointed(agreeing(star, reps)), documents))
-    found = components(links)
-    label = found.select(F.col("node").alias("id"), F.col("component").alias("c"))
-    named = members.join(label, "id", "left").withColumn("c", F.coalesce("c", "id"))
-    centre = label.select(F.col("id").alias("low"), F.col("c").alias("cl"))
-    named = checkpointed(named.join(centre, "low", "left").withColumn("cl", F.coalesce("cl", "low")))
-    stray = named.where("c <> cl").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-    rest = named.where("id <> low").select("key", F.col("id").alias("y"), F.col("c").alias("cy"))
-    more = stray.join(rest, "key").where("x <> y and cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = checkpointed(agreeing(more, reps))
-    if not more.isEmpty():
-        extra = checkpointed(confirmed(more, documents))
-        if not extra.isEmpty():
-            found = components(links.unionAll(extra))
+    found = linked(members, reps, documents)
     label = found.select(F.col("node").alias("id"), F.col("component").alias("c"))
     classes = reps.select("d1", "d2", F.col("doc_id").alias("id")).join(label, "id", "left").select("d1", "d2", F.coalesce("c", "id").alias("c"))
     out = rows.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
@@ -225,7 +246,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """The rows of documents, whole, of the smallest id of each component; of rows that share an id, all."""
     gone = near_duplicates(documents).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
