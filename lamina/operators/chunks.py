@@ -1,7 +1,7 @@
 """Chunks: greedy packing of pieces to a target size, restarted at every section."""
 
-from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,7 +94,6 @@ def markdown_blocks(documents: DataFrame) -> DataFrame:
         return out
 
     from ..functions.python import arrow_udf
-    import pandas as pd
 
     @arrow_udf("array<struct<kind:string,level:int,text:string,first:int,last:int>>")
     def blocks_of(x: pd.Series) -> pd.Series:
