@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,9 +68,8 @@ class Quantiser:
         """Each vector's own list, and all lists that may hold a vector within the radius."""
         square = (x * x).sum(1)[:, None] - 2 * x @ self.centres.T + (self.centres * self.centres).sum(1)
         own = square.argmin(1)
-        between = np.sqrt(np.maximum(((self.centres[:, None] - self.centres[own][None]) ** 2).sum(2).T, 1e-30)) if len(self.centres) * len(x) < 200_000 else np.stack(
-            [np.sqrt(((self.centres - self.centres[o]) ** 2).sum(1)) for o in own]
-        )
+        owners, back = np.unique(own, return_inverse=True)
+        between = np.stack([np.sqrt(((self.centres - self.centres[o]) ** 2).sum(1)) for o in owners])[back]
         plane = (square - square[np.arange(len(x)), own][:, None]) / (2 * np.maximum(between, 1e-15))
         near = plane <= RADIUS + 1e-9
         near[np.arange(len(x)), own] = True
@@ -78,11 +78,11 @@ class Quantiser:
     def distances(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared distance of each x to each coded vector of the list, from tables."""
         rest = x - self.centres[cell]
-        out = np.zeros((len(x), len(codes)))
+        out = np.zeros((len(x), len(codes)), np.float32)
         for i, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
             book = self.books[i]
-            table = ((rest[:, None, a:b] - book[None]) ** 2).sum(2)
-            out += table[:, codes[:, i]]
+            table = (rest[:, a:b] ** 2).sum(1)[:, None] - 2 * rest[:, a:b] @ book.T + (book**2).sum(1)
+            out += np.take(table.astype(np.float32), codes[:, i], axis=1)
         return out
 
 
@@ -93,6 +93,10 @@ def unit(raw: np.ndarray) -> np.ndarray:
 
 
 def padded(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors as rows, shorter ones filled up with zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if len(column) and pc.min_max(pc.list_value_length(column)).as_py() == {"min": width, "max": width}:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
     rows = column.to_pylist()
     out = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
@@ -100,6 +104,12 @@ def padded(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def fixed(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as binary values."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Those links (a, b) that join what earlier ones haven't."""
     up: dict[int, int] = {}
@@ -170,8 +180,8 @@ def _linked(classes: DataFrame, model: Quantiser, width: int) -> DataFrame:
             asks[np.cumsum([0, *(len(p) + 1 for p in near[:-1])])] = False
             held = batch.take(pa.array(row))
             cols = {n: held.column(i) for i, n in enumerate(("vec_id", "label", "copies", "embedding"))}
-            cols["dim"] = pa.array([len(v) for v in held.column(3).to_pylist()], pa.int32())
-            cols |= {"cell": pa.array(cell.astype(np.int32)), "code": pa.array([codes[i].tobytes() for i in row], pa.binary()), "err": pa.array(err[row]), "asks": pa.array(asks)}
+            cols["dim"] = pc.list_value_length(held.column(3)).cast(pa.int32())
+            cols |= {"cell": pa.array(cell.astype(np.int32)), "code": fixed(codes[row]), "err": pa.array(err[row]), "asks": pa.array(asks)}
             yield pa.RecordBatch.from_pydict({n.split()[0]: cols[n.split()[0]] for n in FINE.split(", ")})
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
@@ -192,10 +202,10 @@ def _linked(classes: DataFrame, model: Quantiser, width: int) -> DataFrame:
         at, of = np.flatnonzero(asks), np.flatnonzero(~asks)
         a, b, n = [], [], []
         if len(at) and len(of):
-            codes = np.frombuffer(b"".join(table.column("code").take(pa.array(of)).to_pylist()), np.uint8).reshape(len(of), -1)
+            codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[of]
             err = table.column("err").to_numpy()[of]
             far = np.sqrt(np.maximum(q.distances(x[at], int(table.column("cell")[0].as_py()), codes), 0))
-            i, j = np.nonzero(far - err <= RADIUS + 1e-7)
+            i, j = np.nonzero(far - err <= RADIUS + 1e-3)
             i, j = at[i], of[j]
             cosine = np.concatenate([np.einsum("nd,nd->n", x[i[k : k + 20_000]], x[j[k : k + 20_000]]) for k in range(0, len(i), 20_000)]) if len(i) else np.zeros(0)
             close = (cosine >= COSINE) & (ids[i] != ids[j])
