@@ -12,7 +12,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b); component is the smallest node reachable.
 
     In each round a node's parent is its smallest neighbour or itself, parents are followed
-    twice, and edges move to the parents; nodes that have no edge left are done. Minima are
+    to the top by doubling, and edges move there; nodes that have no edge left are done. Minima are
     pre-aggregated and joins can be split, so a node with very many edges is no hot spot.
     Loops and repeated edges do no harm; an empty table gives no rows."""
     edges = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
@@ -20,8 +20,12 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select("b", "a"))
         parents = checkpointed(both.groupBy("node").agg(F.min("other").alias("parent")).select("node", F.least("node", "parent").alias("parent")))
-        up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        parents = checkpointed(parents.join(up, "parent").select("node", F.col("grand").alias("parent")))
+        moving = True
+        while moving:  # each time twice as far
+            up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+            jumped = checkpointed(parents.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")))
+            moving = not jumped.where("moved").isEmpty()
+            parents = jumped.drop("moved")
         if labels is None:
             labels = parents.select("node", F.col("parent").alias("component"))
         else:
