@@ -82,7 +82,7 @@ def test_toxicity_nearest_is_exact():
 def test_toxicity_held_out(spark):
     bad, good = ["idiot", "moron", "scum"], ["tree", "house", "river", "cloud", "stone"]
     g = np.random.default_rng(1)
-    rows = [(i, " ".join(g.choice(good, 30)) + (" " + g.choice(bad) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(300)]
+    rows = [(i, " ".join(g.choice(good, 30)) + (" " + g.choice(bad) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(800)]
     d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     out = toxicity.toxicity(d.drop("toxic"), toxicity.train(d.drop("toxic"), d.select("doc_id", "toxic"))).collect()
     for r in out:
