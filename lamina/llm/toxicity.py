@@ -1,15 +1,19 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine, found in a block-max index.
 
 Terms are words and the beginnings of words, so that inflected forms meet. The vector
-space holds those that labelled texts use clearly more often in one class than in the
-other; document frequencies are counted over all documents. Examples
-lie in blocks; a term's largest weight in each block bounds what any example there can
-reach, so blocks are opened from the highest bound down until none can still enter the
-k best. Similarity-weighted votes of those k are calibrated to probabilities.
+space holds every term of the labelled texts; inverse document frequencies, counted over
+all documents, are multiplied by a smooth weight of how unevenly the classes use the term,
+so that terms of both classes count little and none is left out. Examples
+lie in blocks; a term's largest weight in each block bounds what it can add to any example
+there. Terms are added up from the largest bound down, until only few examples can still
+enter the k best, and these are computed in full. Similarity-weighted votes of the k best
+are calibrated to probabilities.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,9 +25,10 @@ from pyspark.sql import functions as F
 from .common import arrow_pass, crc_fold, labelled_sample, platt, sigmoid, small_batches, texts_of
 
 FIT_ROWS = 3000
-#: Most terms of the space, fewest examples that hold a term, ratio of shares, and log-likelihood ratio (p < 4e-7, as tens of thousands of terms are tried).
-TERMS, LEAST_DOCS, LIFT, LLR = 4096, 3, 10.0, 26.0
-K, BLOCK = 15, 64
+#: Log-likelihood ratio at which a term's weight is a quarter of its full weight.
+HALF = 10.0
+#: Neighbours, examples of a block, terms added at first, and examples few enough to be computed in full.
+K, BLOCK, FIRST, FEW = 15, 64, 128, 96
 TOXIC_FROM = 0.7
 #: Results kept for repeated vectors; beyond, the memory starts anew.
 MEMORY = 200_000
@@ -59,112 +64,155 @@ class Space(dict):
         self[word] = got
         return got
 
-    def counts(self, text: str) -> Counter:
-        found = [at for at in map(self.__getitem__, words_of(text)) if at]
-        return Counter(i for at in found for i in at)
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the text's terms, ascending, and how often each occurs."""
+        found = [i for at in map(self.__getitem__, words_of(text)) for i in at]
+        return np.unique(np.array(found, np.int64), return_counts=True)
 
     def __reduce__(self):
         return Space, ([*self.place],)
 
 
-def choose_terms(sample: list[tuple[int, str, int]]) -> list[bytes]:
-    """The most telling terms of either class, at most TERMS, in byte order."""
+def weighted_terms(sample: list[tuple[int, str, int]]) -> tuple[list[bytes], np.ndarray]:
+    """All terms of the examples, in byte order, and their weights from 0 (used alike by both classes) to 1; none without both classes."""
     held = (Counter(), Counter())
     size = [0, 0]
     for _, text, y in sample:
         held[y].update({t for w in set(words_of(text)) for t in terms_of(w)})
         size[y] += 1
-    if not all(size):
-        return []
-    names = [t for t in held[0].keys() | held[1].keys() if held[0][t] + held[1][t] >= LEAST_DOCS]
-    if not names:
-        return []
+    names = sorted(held[0].keys() | held[1].keys())
+    if not all(size) or not names:
+        return [], np.zeros(0)
     a = np.array([held[1][t] for t in names], float)
     b = np.array([held[0][t] for t in names], float)
-    pa_, pb = (a + 0.5) / (size[1] + 1), (b + 0.5) / (size[0] + 1)
 
     def part(k, n, p):
         return k * np.log(np.maximum(p, 1e-12)) + (n - k) * np.log(np.maximum(1 - p, 1e-12))
 
     both = (a + b) / sum(size)
     llr = 2 * (part(a, size[1], a / size[1]) + part(b, size[0], b / size[0]) - part(a, size[1], both) - part(b, size[0], both))
-    good = (llr >= LLR) & ((pa_ >= LIFT * pb) | (pb >= LIFT * pa_))
-    best = sorted((-llr[i], names[i]) for i in np.flatnonzero(good))[:TERMS]
-    return sorted(t for _, t in best)
+    llr = np.maximum(llr, 1e-6)  # a term that both classes use alike keeps a trace
+    return names, (llr / (llr + HALF)) ** 2
 
 
 def document_frequencies(documents: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
     """Number of documents, and of those that hold each term; counted over all documents, one row for each term and task."""
     small_batches(documents.sparkSession)
-    shared = documents.sparkSession.sparkContext.broadcast(terms)
+    shared = documents.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(terms), 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, found, n = Space(shared.value), Counter(), 0
+        space, found, n = Space(pickle.loads(zlib.decompress(shared.value))), Counter(), 0
         for b in batches:
             for text in texts_of(b):
-                found.update(space.counts(text).keys())
+                found.update({i for at in map(space.__getitem__, set(words_of(text))) for i in at})
                 n += 1
         rows = [(-1, n), *found.items()]
-        yield pa.RecordBatch.from_pydict({"term": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64())})
+        for i in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_pydict({"term": pa.array([r[0] for r in rows[i : i + 10_000]], pa.int64()), "n": pa.array([r[1] for r in rows[i : i + 10_000]], pa.int64())})
 
     df = np.zeros(len(terms) + 1, np.int64)
-    for r in documents.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most TERMS + 1 rows
-        df[r.term] = r.n
+    got = documents.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term, and one
+    df[got.column("term").to_numpy()] = got.column("n").to_numpy()
     return int(df[-1]), df[:-1]
 
 
+def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """lo..hi-1 of each pair, one after the other."""
+    n = hi - lo
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class Index:
     """Labelled examples as unit TF-IDF vectors, their postings in blocks of BLOCK examples."""
 
     def __init__(self, terms: list[bytes], idf: np.ndarray, ids: list[int], labels: list[int], texts: list[str]):
         self.space = Space(terms)
         self.idf = idf
-        vectors = [self.vector(t) for t in texts]
-        self.void = [y for (at, _), y in zip(vectors, labels, strict=True) if not len(at)]
-        full = [i for i, (at, _) in enumerate(vectors) if len(at)]
+        counts = [self.space.counts(t) for t in texts]
+        self.void = [y for (at, _), y in zip(counts, labels, strict=True) if not len(at)]
+        full = [i for i, (at, _) in enumerate(counts) if len(at)]
         self.ids = np.array([ids[i] for i in full], np.int64)
         self.labels = np.array([labels[i] for i in full], np.int64)
         self.base = (sum(self.void) + 0.5) / (len(self.void) + 1.0)
-        n_blocks = -(-len(full) // BLOCK)
-        self.bound = np.zeros((len(terms), n_blocks), np.float64)
-        lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for e, i in enumerate(full):
-            for t, w in zip(*vectors[i], strict=True):
-                lists[t].append((e, w))
-                self.bound[t, e // BLOCK] = max(self.bound[t, e // BLOCK], w)
-        sizes = [len(x) for x in lists]
-        self.start = np.cumsum([0, *sizes])
-        self.example = np.array([e for x in lists for e, _ in x], np.int64)
-        self.weight = np.array([w for x in lists for _, w in x], np.float64)
-        self.cut = [self.start[t] + np.searchsorted([e for e, _ in x], np.arange(n_blocks + 1) * BLOCK) for t, x in enumerate(lists)]
+        self.from_ = np.cumsum([0, *(len(counts[i][0]) for i in full)])
+        self.term = np.concatenate([np.zeros(0, np.int32), *(counts[i][0].astype(np.int32) for i in full)])
+        self.tf = np.concatenate([np.ones(0, np.int32), *(counts[i][1].astype(np.int32) for i in full)])
+        self._build()
+
+    def _build(self) -> None:
+        """The examples' vectors, one after the other, and the same by term."""
+        n, terms = len(self.ids), len(self.idf)
+        example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.from_))
+        self.value = (1 + np.log(self.tf)) * self.idf[self.term]
+        if n:
+            self.value /= np.sqrt(np.add.reduceat(self.value * self.value, self.from_[:-1]))[example]
+        order = np.argsort(self.term, kind="stable")
+        by_term = self.term[order]
+        self.example, self.weight = example[order], self.value[order]
+        self.start = np.searchsorted(by_term, np.arange(terms + 1))
+        #: Runs of one term in one block: where each begins, its block and largest weight; by term from self.run on.
+        self.blocks = -(-n // BLOCK)
+        code = by_term.astype(np.int64) * max(self.blocks, 1) + self.example // BLOCK
+        begin = np.flatnonzero(np.diff(code, prepend=-1))
+        self.block = (self.example[begin] // BLOCK).astype(np.int32)
+        self.largest = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
+        self.run = np.searchsorted(by_term[begin], np.arange(terms + 1))
+        #: The largest weight of each term, and the query that is being computed.
+        self.most, self.query = np.zeros(terms), np.zeros(terms)
+        some = np.flatnonzero(np.diff(self.run))
+        if len(some):
+            self.most[some] = np.maximum.reduceat(self.largest, self.run[some])
+
+    def __getstate__(self):
+        """Counts alone, packed: workers build the rest."""
+        small = {k: getattr(self, k) for k in ("idf", "void", "ids", "labels", "base", "from_", "term", "tf")}
+        return zlib.compress(pickle.dumps(small | {"terms": [*self.space.place]}), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.__dict__ |= pickle.loads(zlib.decompress(state))
+        self.space = Space(self.__dict__.pop("terms"))
+        self._build()
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Terms of the space in the text and their weights, of length one together."""
-        tf = self.space.counts(text)
-        at = np.array(sorted(tf), np.int64)
-        w = (1 + np.log(np.array([tf[i] for i in at], float))) * self.idf[at] if len(at) else np.zeros(0)
+        at, tf = self.space.counts(text)
+        w = (1 + np.log(tf)) * self.idf[at] if len(at) else np.zeros(0)
         return at, w / np.sqrt((w * w).sum()) if len(at) else w
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a positive cosine, ties by place; but: a place to leave out."""
-        bounds = w @ self.bound[at] if self.bound.shape[1] else np.zeros(0)
-        best_e, best_s, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best_e) == k and bounds[b] < floor - 1e-12:
+        none = np.zeros(0, np.int64), np.zeros(0)
+        n = len(self.ids)
+        if not n or not len(at):
+            return none
+        order = np.argsort(-w * self.most[at], kind="stable")
+        t, q = at[order], w[order]
+        # What the terms not yet added can still add in each block.
+        left = np.bincount(self.block[(r := _spans(self.run[t], self.run[t + 1]))], np.repeat(q, self.run[t + 1] - self.run[t]) * self.largest[r], self.blocks)
+        acc, done, step = np.zeros(n), 0, FIRST
+        while done < len(t):
+            some, x = t[done : done + step], q[done : done + step]
+            p = _spans(self.start[some], self.start[some + 1])
+            acc += np.bincount(self.example[p], np.repeat(x, self.start[some + 1] - self.start[some]) * self.weight[p], n)
+            r = _spans(self.run[some], self.run[some + 1])
+            left -= np.bincount(self.block[r], np.repeat(x, self.run[some + 1] - self.run[some]) * self.largest[r], self.blocks)
+            if but >= 0:
+                acc[but] = -2.0
+            done, step = done + step, step * 2
+            floor = np.partition(acc, n - k)[n - k] if n > k else -1.0
+            e = np.flatnonzero(acc + np.repeat(left, BLOCK)[:n] >= floor - 1e-9) if done < len(t) else np.flatnonzero(acc >= floor - 1e-9)
+            if len(e) <= FEW:
                 break
-            acc = np.zeros(BLOCK)
-            for t, q in zip(at, w, strict=True):
-                lo, hi = self.cut[t][b], self.cut[t][b + 1]
-                if hi > lo:
-                    acc[self.example[lo:hi] - b * BLOCK] += q * self.weight[lo:hi]
-            if b * BLOCK <= but < (b + 1) * BLOCK:
-                acc[but - b * BLOCK] = 0
-            e = np.flatnonzero(acc > 0)
-            best_e, best_s = np.concatenate([best_e, e + b * BLOCK]), np.concatenate([best_s, acc[e]])
-            keep = np.lexsort((best_e, -np.round(best_s, 12)))[:k]
-            best_e, best_s = best_e[keep], best_s[keep]
-            floor = best_s[-1] if len(best_s) == k else 0.0
-        return best_e, best_s
+        e = e[e != but]
+        if not len(e):
+            return none
+        self.query[at] = w
+        p = _spans(self.from_[e], self.from_[e + 1])
+        s = np.add.reduceat(self.query[self.term[p]] * self.value[p], np.cumsum([0, *np.diff(self.from_)[e][:-1]]))
+        self.query[at] = 0
+        e, s = e[s > 0], s[s > 0]
+        keep = np.lexsort((e, -np.round(s, 12)))[:k]
+        return e[keep], s[keep]
 
     def vote(self, e: np.ndarray, s: np.ndarray) -> float:
         """Share of toxic among the neighbours, nearer ones heavier, with one far vote at the share of texts without terms."""
@@ -200,9 +248,9 @@ def _logit(p: float) -> float:
 def train(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """An index of at most fit_rows labelled rows of each class, none of the held-out fold, calibrated leaving each row out."""
     sample = labelled_sample(documents, labels, "toxic", fit_rows)
-    terms = choose_terms(sample)
+    terms, telling = weighted_terms(sample)
     n, df = document_frequencies(documents, terms)
-    index = Index(terms, np.log((1 + n) / (1 + df)) + 1, [r[0] for r in sample], [r[2] for r in sample], [r[1] for r in sample])
+    index = Index(terms, (np.log((1 + n) / (1 + df)) + 1) * telling, [r[0] for r in sample], [r[2] for r in sample], [r[1] for r in sample])
     raw, y, place = [], [], 0
     for _, text, label in sample:
         at, w = index.vector(text)

@@ -90,6 +90,17 @@ def test_toxicity_held_out(spark):
         assert r.predicted == int(r.doc_id % 4 == 0) == int(r.score >= 0.7)
 
 
+def test_toxicity_learns_rare_words(spark):
+    """Thirty words of about five examples each, none of which a test at the usual levels would tell from chance."""
+    g = np.random.default_rng(4)
+    bad, good = ["".join(g.choice(list("bcdfgkmpvz"), 9)) for _ in range(30)], [f"{c}tree" for c in "abcdefghij"]
+    rows = [(i, " ".join(g.choice(good, 20)) + (" " + bad[i // 4 % 30] if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held = [r for r in toxicity.toxicity(d.drop("toxic"), toxicity.train(d.drop("toxic"), d.select("doc_id", "toxic"))).collect() if r.held_out]
+    assert np.mean([r.predicted for r in held if r.doc_id % 4 == 0]) > 0.9
+    assert np.mean([r.predicted for r in held if r.doc_id % 4]) < 0.02
+
+
 # ------------------------------------------------ 2 packing
 
 
