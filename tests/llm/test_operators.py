@@ -235,6 +235,19 @@ def test_secrets(spark, odd):
     assert secret_scan.secret_scan(odd, net).count() == len(ODD) == secret_scan.mask_secrets(odd, net).count()
 
 
+def test_secrets_beyond_mixed_runs():
+    """Values of assignments, short or with signs, and runs of letters or digits alone are judged, and words after a colon are not taken."""
+    g = np.random.default_rng(8)
+    run = "".join(g.choice(list("bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ"), 32))
+    texts = ['so pwd = "Tr0ub4dor&3" there', "the auth_key: hunter2x there", 'a password = "S3c!ret" there', f"and {run} there", "auth=83650194726583016492 there", "secret=abc123def@#9Z there"]
+    scanner = secret_scan.Scanner(secret_scan.fit([]))
+    for t, want in zip(texts, ["Tr0ub4dor&3", "hunter2x", "S3c!ret", run, "83650194726583016492", "@#9Z"], strict=True):
+        _, every, _ = scanner.spans([t])[0]
+        assert want not in secret_scan.masked(t, every), (t, every)
+    plain = ["Please note: nothing else happened here", 'the title="some other words" was', "size = 1200 at http://other.site.com/house", "a very internationalisation word"]
+    assert [every for _, every, _ in scanner.spans(plain)] == [[]] * 4
+
+
 def test_secret_net_tells_keys_from_words():
     net = secret_scan.fit([])
     made = secret_scan.key_samples(seed=99, n=60)
