@@ -593,7 +593,7 @@ def translation_assign(spark, sf_dir):
 def fidelity_pairs(spark, sf_dir):
     from ..functions import python as P
 
-    d = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 2000).alias("a"))
+    d = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a"))
     w = Window.partitionBy("conv_id").orderBy("turn")
     return d.withColumn("b", F.lag("a").over(w)).where("b is not null").select("conv_id", "turn", F.round(P.fidelity(F.col("a"), F.col("b")), 6).alias("ratio"))
 

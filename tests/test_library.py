@@ -185,3 +185,10 @@ def test_streaming_index(spark, tmp_path):
     ingest.start(ingest.documents(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {(r.term, r.tf) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("alpha", 2), ("beta", 1)}
+
+
+def test_fidelity_of_whole_turns(spark, tmp_path):
+    same = "the same words " * 200  # 3,000 characters
+    rows = [(1, 0, "user", same + "a" * 1000), (1, 1, "user", same + "b" * 1000)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r.ratio for r in QUERIES["fidelity_pairs"](spark, str(tmp_path)).collect()] == [75.0]
