@@ -3,6 +3,7 @@ samples of labelled rows, and Arrow passes over whole texts."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -30,11 +31,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lamina-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only where it is unset and driver and executors are one process, as in tests, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="lamina-checkpoint-")
+
+
 def fold(doc_id, parts: int):
     """crc32 of the id as text, modulo parts; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts, F.lit(0))

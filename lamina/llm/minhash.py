@@ -3,8 +3,9 @@
 Two permutations give all coordinates: the first scatters a shingle over the 32-bit
 circle, the second, shifted by k around it, orders shingles for coordinate k. Bands of
 coordinates are buckets. Texts with equal shingle sets form a class that only its
-smallest id represents. In each bucket every member is first held against one centre, and
-again against others, until few pairs are left that no links join; those are all compared.
+smallest id represents. A bucket with few pairs gives them all; in a wide one every member
+is held against one centre, and again against others once links have been followed, until
+few pairs are left that no links join; those are all compared.
 Pairs whose signatures agree too little are dropped (five standard errors below the
 bound), all others are confirmed on their full sets.
 """
@@ -25,8 +26,9 @@ BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 #: Pairs whose signatures agree in a smaller share of coordinates are no candidates.
 AGREE = 0.6
-#: Families of bands with a centre of their own, turns with centres at most, and pairs for each member that count as few.
-CENTRES, TURNS, FEW = 4, 6, 4
+#: Families of bands with a centre of their own, turns with centres at most, pairs for each member that count as few, and members of a tile.
+CENTRES, TURNS, FEW, TILE = 4, 6, 4, 2048
+PAIR = ["a", "b", "ca", "cb"]
 #: Words kept with their hashes by a worker; beyond, the memory starts anew.
 MEMORY = 400_000
 #: Shingles hashed at once, so that the arrays stay in cache.
@@ -139,34 +141,32 @@ def signed(documents: DataFrame) -> DataFrame:
 
 
 def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) that may be alike by their sizes and signatures."""
+    """The pairs (a, b, ca, cb) that may be alike by their sizes and signatures."""
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("low").alias(f"l{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in (2, 3))
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in (4, 5))
         share = ((a == b).mean(1) - 1 / 256) / (1 - 1 / 256)  # low bytes of unlike coordinates agree once in 256
-        return batch.select(["a", "b"]).filter(pa.array(share >= AGREE))
+        return batch.select(PAIR).filter(pa.array(share >= AGREE))
 
-    return arrow_pass(both, ["a", "b", "la", "lb"], run, "a long, b long")
+    return arrow_pass(both, [*PAIR, "la", "lb"], run, "a long, b long, ca long, cb long")
 
 
-def id_filter(ids: DataFrame):
-    """A Bloom filter of the ids, of at most FILTER_MOST bits; beyond, it lets more through and the join after it decides."""
-    n = ids.count()
-    bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_BITS * n - 1).bit_length() if n else 0))
-    place = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(bits))
-    at = ids.select(F.explode(F.array(place(1), place(2))).alias("at"))
+def id_filter(pairs: DataFrame, n: int):
+    """A Bloom filter of the ids in n pairs, of at most FILTER_MOST bits; beyond, it lets more through and the join after it decides."""
+    bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_BITS * n - 1).bit_length()))
+    place = lambda c, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(bits))
+    at = pairs.select(F.explode(F.array(*[place(c, seed) for c in "ab" for seed in (1, 2)])).alias("at"))
     words = at.groupBy(F.shiftright("at", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(at, 32) as int)))").alias("v")).toArrow()
     table = np.zeros(bits // 32, np.uint32)
     table[words.column("w").to_numpy()] = words.column("v").to_numpy().astype(np.uint32)
     return bits, table
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are alike enough; only their documents are read on."""
-    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    bits, table = id_filter(ids)
+def confirmed(pairs: DataFrame, n: int, documents: DataFrame) -> DataFrame:
+    """(a, b): the components of those of the n pairs whose full shingle sets are alike enough; only their documents are read on."""
+    bits, table = id_filter(pairs, n)
     shared = documents.sparkSession.sparkContext.broadcast(table)
     state: list[Shingles] = []
 
@@ -181,45 +181,65 @@ def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 
     place = lambda seed: F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(bits))
     read = documents.where("doc_id is not null").select(F.col("doc_id"), "text", place(1).alias("p"), place(2).alias("q"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = checkpointed(arrow_pass(read, ["doc_id", "text", "p", "q"], run, "id long, s array<long>").join(ids, "id", "left_semi"))
+    shared.destroy()  # the sets lie in the shared folder: no task will ask for it again
     side = lambda c: sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"))
     common = F.size(F.array_intersect("sa", "sb"))
     alike = common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b").distinct()
-
-
-def linked(members: DataFrame, reps: DataFrame, documents: DataFrame) -> DataFrame:
-    """(node, component) from the buckets' members (band, key, id): every pair of a bucket is confirmed, refused, or joined by other links."""
-    size, links, tested, found = members.count(), None, None, None
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+
+
+def candidate_pairs(members: DataFrame, label: DataFrame | None, turn: int) -> DataFrame:
+    """(a, b, ca, cb, wide) from the buckets' members (band, key, id): pairs of one bucket and of different components.
+
+    A bucket with few such pairs gives them all. In a wide one, all members are held
+    against one centre, which differs between CENTRES families of bands and between turns,
+    so that few members miss all; in the last turn wide buckets give all pairs, too, dealt
+    out in tiles of TILE members."""
+    named = members.withColumn("c", F.col("id")) if label is None else members.join(label, "id")
+    named = named.select("key", "id", "c", F.xxhash64("id", F.col("band") % CENTRES, F.lit(turn)).alias("o"))
+    parts = named.groupBy("key", "c").agg(F.count("*").alias("m"), F.min(F.struct("o", "id")).alias("s"))
+    whole = parts.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.max(F.struct("m", "c")).alias("main"), F.min(F.struct("s.o", "s.id", "c")).alias("centre"), F.count("*").alias("parts"))
+    wide = F.lit(False) if turn == TURNS else F.col("n") * F.col("n") - F.col("q") > FEW * F.col("n")
+    whole = whole.where("parts > 1").select("key", wide.alias("wide"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"), F.col("main.c").alias("cm"), F.col("centre.id").alias("x"), F.col("centre.c").alias("cx"))
+    held = named.select("key", "id", "c").join(whole, "key")
+    own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("tiles")).cast("int")
+    others = held.where("not wide").select("key", own.alias("tile"), "id", "c")
+    stray = held.where("not wide and c <> cm").select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("id").alias("x"), F.col("c").alias("cx"))
+    cols = ["id", "c", "x", "cx", "wide"]
+    few = others.join(stray, ["key", "tile"]).withColumn("wide", F.lit(False)).select(*cols)
+    both = held.where("wide").select(*cols).unionAll(few).where("c <> cx")
+    low = F.col("id") < F.col("x")
+    swapped = lambda p, q: F.when(low, F.col(p)).otherwise(F.col(q))
+    both = both.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"), swapped("c", "cx").alias("ca"), swapped("cx", "c").alias("cb"), "wide")
+    return both.groupBy("a", "b").agg(F.min("ca").alias("ca"), F.min("cb").alias("cb"), F.max("wide").alias("wide"))
+
+
+def linked(members: DataFrame, reps: DataFrame, documents: DataFrame) -> DataFrame | None:
+    """(id, c) of every representative, c its component, or None without any link: every pair of a bucket is confirmed, refused, or joined by other links.
+
+    Each turn works on components found so far, so that a turn's links join components and
+    no earlier link is read again; a turn without wide buckets is the last."""
+    label, tested = None, None
     for turn in range(TURNS + 1):
-        named = members.withColumn("c", F.col("id"))
-        if found is not None:
-            label = found.select(F.col("node").alias("id"), F.col("component").alias("l"))
-            named = members.join(label, "id", "left").withColumn("c", F.coalesce("l", "id")).drop("l")
-        # A bucket's centre differs between CENTRES families of bands and between turns, so that few members miss all.
-        named = checkpointed(named.withColumn("o", F.xxhash64("id", F.col("band") % CENTRES, F.lit(turn))))
-        parts = named.groupBy("key", "c").agg(F.count("*").alias("m"), F.min(F.struct("o", "id")).alias("s"))
-        whole = parts.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.max(F.struct("m", "c")).alias("main"), F.min(F.struct("s.o", "s.id", "c")).alias("centre"), F.count("*").alias("parts"))
-        whole = checkpointed(whole.where("parts > 1").select("key", F.col("n") * F.col("n") - F.col("q"), F.col("main.c").alias("cm"), F.col("centre.id").alias("x"), F.col("centre.c").alias("cx")).toDF("key", "open", "cm", "x", "cx"))
-        left = whole.agg(F.sum("open").alias("n")).first().n or 0
-        last = turn == TURNS or (turn and left <= FEW * size)
-        if last:
-            stray = named.join(whole, "key").where("c <> cm").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-        else:
-            stray = whole.select("key", "x", "cx")
-        pairs = stray.join(named, "key").where("id <> x and c <> cx").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+        pairs = candidate_pairs(members, label, turn)
+        old = F.lit(False)
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        some = checkpointed(agreeing(pairs, reps))
-        if not some.isEmpty():
-            more = checkpointed(confirmed(some, documents))
-            links = more if links is None else links.unionAll(more)
-            found = components(links)
-        if last or not left:
+            pairs, old = pairs.join(tested.withColumn("old", F.lit(True)), ["a", "b"], "left"), F.col("old").isNotNull()
+        pairs = checkpointed(pairs.select(*PAIR, "wide", old.alias("old")).where("wide or not old"))
+        size = pairs.agg(F.sum(F.when(F.col("old"), 0).otherwise(1)).alias("n"), F.max("wide").alias("wide")).first()
+        if size.n:
+            new = pairs.where("not old").select(*PAIR)
+            tested = new.select("a", "b") if tested is None else tested.unionAll(new.select("a", "b"))
+            some = checkpointed(agreeing(new, reps))
+            if n := some.count():
+                found = components(confirmed(some, n, documents)).select(F.col("node").alias("c"), F.col("component").alias("to"))
+                known = reps.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("c")) if label is None else label
+                label = checkpointed(known.join(found, "c", "left").select("id", F.coalesce("to", "c").alias("c")))
+        if not size.wide:
             break
-    return components(tested.limit(0)) if found is None else found
+    return label
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -235,9 +255,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     buckets = reps.select(F.posexplode("bands").alias("band", "key"), F.col("doc_id").alias("id"))
     several = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     members = checkpointed(buckets.join(several, "key"))
-    found = linked(members, reps, documents)
-    label = found.select(F.col("node").alias("id"), F.col("component").alias("c"))
-    classes = reps.select("d1", "d2", F.col("doc_id").alias("id")).join(label, "id", "left").select("d1", "d2", F.coalesce("c", "id").alias("c"))
+    label = linked(members, reps, documents)
+    known = reps.select("d1", "d2", F.col("doc_id").alias("id"))
+    classes = known.select("d1", "d2", F.col("id").alias("c")) if label is None else known.join(label, "id").select("d1", "d2", "c")
     out = rows.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -1,22 +1,28 @@
 """Best-fit packing of tokenised documents into sequences of fixed length.
 
-The lengths' histogram, of one entry a length, is all that the plan needs. A covering
+The lengths' histogram, of one entry a length, is all that the plan needs. The covering
 program over configurations (multisets of lengths that fit a sequence) is solved by
-multiplicative weights: in each round the weighted lengths are priced by a knapsack
-dynamic program, whose table gives a best configuration around every length still due,
-and lengths that fall behind gain weight. Configuration counts are rounded down and
-what is left over goes, in order of length, to the fullest sequences that have room.
-Pieces find their places by their rank among the pieces of their length.
+multiplicative weights: in each round a knapsack dynamic program prices configurations
+under the lengths' weights, its table gives a best one around every length, and lengths
+that fall behind gain weight. The weights, scaled so that no configuration is worth more
+than one, are duals: they bound the number of sequences from below. Rounding prices again
+under the best duals, over what is still due, and uses configurations worth (nearly) one
+whole numbers of times. What is left goes, in order of length, to the fullest sequences
+that have room. Pieces find their places by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,22 +30,32 @@ from pyspark.sql import functions as F
 from .common import checkpointed, small_batches, texts_of
 
 CAPACITY, SEPARATOR = 4096, 1
-#: Rounds of the program, pricings in each, and the rate of the weights.
-ROUNDS, PRICINGS, ETA = 16, 3, 0.5
-#: Words kept with their ids by a worker: two generations of so many, of which the older goes.
-MEMORY, KEPT_BYTES = 500_000, 48
+#: Rounds of the program, the rate of its weights, how far below one a configuration's worth may be, pricings for each of these.
+ROUNDS, ETA, SHORT, PASSES = 12, 0.3, (0.0, 1 / 2048, 1 / 512, 1 / 128, 1 / 32), 16
+#: A pricing that places a smaller share of what is due is the last of its kind.
+LEAST = 0.02
+#: Words and pre-tokens kept with their ids by a worker, and the longest that are; words in two generations, of which the older goes.
+MEMORY, KEPT = 400_000, 48
 #: Words whose lower case and normal form are plain, and how the vocabulary's published pattern splits them.
 PLAIN = regex.compile(r"[\x21-\x7e\u00c0-\u012f\u0131-\u017f]+")
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-IN_A_ROW = 500
+PRE_TOKEN_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 Plan = list[tuple[tuple[int, ...], int]]
 
 
+def byte_letters() -> dict[int, str]:
+    """The published byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for code points from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in own)
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Tokens:
     """Ids of whole texts. Words between ASCII white space are encoded on their own: neither the
-    vocabulary's normal forms nor its pattern reach across white space."""
+    vocabulary's normal forms nor its pattern reach across white space. Plain words are split
+    into pre-tokens here, of which there are fewer, and only new ones are merged."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,47 +63,63 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        vocab = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.kept: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of each word. Plain words are encoded many in a row, which takes half the time: the
-        last id of each pre-token is marked as an end, and a word's pre-tokens are counted."""
-        named = [w.decode() for w in words]
-        plain = [w for w in named if (w.isascii() and w.isprintable() or PLAIN.fullmatch(w)) and "<|" not in w]
-        found = {}
-        for i in range(0, len(plain), IN_A_ROW):
-            part = plain[i : i + IN_A_ROW]
-            counts = np.cumsum([1 if w.isalpha() else len(PRE_TOKEN.findall(w.lower())) for w in part])
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.last[ids])
-            if len(ends) != counts[-1]:
-                continue  # then each is encoded on its own
-            raw, cut = ids.tobytes(), (4 * (ends[counts - 1] + 1)).tolist()
-            found |= {w.encode(): raw[a:b] for w, a, b in zip(part, [0, *cut], cut, strict=False)}
-        rest = [w for w in named if w.encode() not in found]
+        merge, letters = self.tokenizer.model.tokenize, byte_letters()
+
+        class Parts(dict):
+            def __missing__(self, part: str) -> bytes:
+                named = part if part.isascii() else part.encode().decode("latin-1").translate(letters)
+                ids = array("I", [t.id for t in merge(named)]).tobytes()
+                if len(self) > MEMORY:
+                    self.clear()
+                if len(part) <= KEPT:
+                    self[part] = ids
+                return ids
+
+        self.parts = Parts()
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word."""
+        found, rest, part = {}, [], self.parts.__getitem__
+        for w in words:
+            if "<|" in w or not (w.isascii() and w.isprintable() or PLAIN.fullmatch(w)):
+                rest.append(w)
+                continue
+            low = w.lower()
+            if low.isalpha():
+                found[w] = part(low)
+            else:
+                found[w] = b"".join(map(part, (PRE_TOKEN_ASCII if low.isascii() else PRE_TOKEN).findall(low)))
         coded = self.tokenizer.encode_batch(rest, add_special_tokens=False)
-        return found | {w.encode(): np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, coded, strict=True)}
+        return found | {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, coded, strict=True)}
 
-    def texts(self, texts: list[str]) -> list[bytes]:
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.encode().split() for t in texts]
-        wanted = set().union(*split) if split else set()
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.kept) > MEMORY:
             self.kept, self.older = {}, self.kept
-        missing = wanted - self.kept.keys()
-        again = missing & self.older.keys()
-        self.kept |= {w: self.older[w] for w in again}
-        found = self.encoded(list(missing - again))
-        self.kept |= found
-        out = [b"".join(map(self.kept.__getitem__, s)) for s in split]
-        for w in found:
-            if len(w) > KEPT_BYTES:
-                del self.kept[w]
-        return out
+        got = [*map(self.kept.get, words)]
+        late = [i for i, x in enumerate(got) if x is None]
+        again = {words[i]: x for i in late if (x := self.older.get(words[i])) is not None}
+        found = self.encoded([words[i] for i in late if words[i] not in again])
+        self.kept |= again
+        for i in late:
+            w = words[i]
+            got[i] = x = again.get(w) or found[w]
+            if len(w) <= KEPT:
+                self.kept[w] = x
+        # Each word's ids, one after the other, are copied to all its places at once.
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        pool, start = np.frombuffer(b"".join(got), "<u4"), np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        n = size[at]
+        end = np.cumsum(n)
+        ids = pool[np.repeat(start[at] - end + n, n) + np.arange(n.sum())]
+        cut = np.concatenate([[0], end])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -104,16 +136,15 @@ def pieces(documents: DataFrame, path: str) -> DataFrame:
 
         task = TaskContext.get().partitionId()
         seen = np.zeros(CAPACITY + 1, np.int64)
-        end = np.array([SEPARATOR], "<u4").tobytes()
-        step = 4 * CAPACITY
+        end = np.array([SEPARATOR], "<u4")
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), tokens(path).texts(texts_of(batch)), strict=True):
-                ids += end
-                for k in range(0, len(ids), step):
-                    part = ids[k : k + step]
-                    n = len(part) // 4
-                    rows.append((doc, k // step, k // 4, n, zlib.crc32(part), task, int(seen[n])))
+            for doc, words in zip(batch.column(0).to_pylist(), tokens(path).texts(texts_of(batch)), strict=True):
+                ids = np.concatenate([words, end])
+                for k in range(0, len(ids), CAPACITY):
+                    part = ids[k : k + CAPACITY]
+                    n = len(part)
+                    rows.append((doc, k // CAPACITY, k, n, zlib.crc32(part), task, int(seen[n])))
                     seen[n] += 1
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             names = [x.split()[0] for x in PIECES.split(", ")]
@@ -123,63 +154,105 @@ def pieces(documents: DataFrame, path: str) -> DataFrame:
 
 
 def knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best value of each capacity, and the length to take first there (0: none)."""
+    """Best value of each capacity, and the length to take first there, the largest of equals; where none helps, minus the next lower capacity where one does."""
     best, first = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    fit = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    down, worth = lengths[::-1], value[::-1]
+    fit = len(lengths) - np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    last = 0
     for c in range(1, capacity + 1):
-        n = fit[c]
-        if n:
-            x = best[c - lengths[:n]] + value[:n]
-            k = int(x.argmax())
-            if x[k] > best[c - 1]:
-                best[c], first[c] = x[k], lengths[k]
-                continue
-        best[c] = best[c - 1]
+        best[c], first[c] = best[c - 1], -last
+        k = fit[c]
+        if k < len(lengths):
+            x = best[c - down[k:]] + worth[k:]
+            i = int(x.argmax())
+            if x[i] > best[c]:
+                best[c], first[c], last = x[i], down[k + i], c
     return best, first
 
 
 def traced(first: np.ndarray, c: int) -> list[int]:
+    """The lengths of a best configuration of capacity c, from knapsack's table."""
     out = []
     while c > 0:
-        if first[c]:
-            out.append(int(first[c]))
-            c -= int(first[c])
+        n = int(first[c])
+        if n > 0:
+            out.append(n)
+            c -= n
         else:
-            c -= 1
+            c = -n
     return out
 
 
-def fractional(demand: np.ndarray, capacity: int = CAPACITY) -> dict[tuple[int, ...], float]:
-    """Configurations and how often to use each, as real numbers; never more of a length than demanded."""
-    due, weight, used = demand.astype(float), np.ones(capacity + 1), {}
-    for t in range(ROUNDS):
-        share = due / (ROUNDS - t)
-        left = share.copy()
-        for _ in range(PRICINGS):
-            lengths = np.flatnonzero(left > 1e-9)
-            if not len(lengths):
+def duals(demand: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, float]:
+    """The worth of each length, of which no configuration holds more than one, and the bound on the number of sequences that it proves."""
+    lengths = np.flatnonzero(demand)
+    due, worth = demand[lengths].astype(float), np.zeros(capacity + 1)
+    if not len(lengths):
+        return worth, 0.0
+    most, y = 0.0, lengths / capacity
+    for _ in range(ROUNDS):
+        best, first = knapsack(lengths, y, capacity)
+        if (bound := float(due @ y / best[capacity])) > most * (1 + 1e-9):
+            most = bound
+            worth[lengths] = y / best[capacity]
+        left = np.zeros(capacity + 1)
+        left[lengths] = due
+        for i in lengths[::-1].tolist():  # best configurations, each as often as its scarcest length allows
+            if left[i] > 0:
+                config = Counter([i, *traced(first, capacity - i)])
+                times = min(left[k] / n for k, n in config.items())
+                for k, n in config.items():
+                    left[k] -= times * n
+        behind = left[lengths] / due
+        if not behind.any():
+            break
+        y = y * np.exp(ETA * (behind - behind.mean()))
+    return worth, most
+
+
+def programmed(demand: np.ndarray, capacity: int = CAPACITY) -> tuple[Plan, np.ndarray, float]:
+    """Configurations with whole counts, what they leave due, and the program's bound."""
+    worth, bound = duals(demand, capacity)
+    due, out = demand.astype(np.int64).copy(), []
+    for short in SHORT:
+        for _ in range(PASSES):
+            lengths = np.flatnonzero(due)
+            best, _ = knapsack(lengths, worth[lengths], capacity)
+            before = due.sum()
+            down = lengths[::-1]
+            value, fit = worth[down], len(down) - np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+            for i in lengths[::-1].tolist():
+                while due[i] and worth[i] + best[capacity - i] >= 1 - short - 1e-9:
+                    # Of the best fillings, the one of the largest lengths that are still due.
+                    config, room, total = Counter([i]), capacity - i, worth[i]
+                    due[i] -= 1
+                    while fit[room] < len(down):
+                        x = best[room - down[fit[room] :]] + value[fit[room] :]
+                        x[due[down[fit[room] :]] <= 0] = -1
+                        k = int((x >= x.max() - 1e-12).argmax())
+                        if x[k] < 0:
+                            break
+                        length = int(down[fit[room] + k])
+                        config[length] += 1
+                        due[length] -= 1
+                        room -= length
+                        total += worth[length]
+                    if total < 1 - short - 1e-9:
+                        for k, m in config.items():
+                            due[k] += m
+                        break
+                    n = min(int(due[k]) // m for k, m in config.items())
+                    for k, m in config.items():
+                        due[k] -= n * m
+                    out.append((tuple(sorted(config.elements(), reverse=True)), n + 1))
+            if before - due.sum() <= LEAST * before:
                 break
-            _, first = knapsack(lengths, lengths / capacity * weight[lengths], capacity)
-            for i in lengths[::-1]:
-                if left[i] <= 1e-9:
-                    continue
-                config = [int(i), *traced(first, capacity - int(i))]
-                names, counts = np.unique(config, return_counts=True)
-                times = float((left[names] / counts).min())
-                if times <= 1e-9:
-                    continue
-                left[names] -= times * counts
-                key = tuple(sorted(config, reverse=True))
-                used[key] = used.get(key, 0.0) + times
-        behind = np.divide(left, share, out=np.zeros_like(left), where=share > 0)
-        weight *= np.exp(ETA * (behind - behind[share > 0].mean())) if (share > 0).any() else 1
-        due -= share - left
-    return used
+    return out, due, bound
 
 
-def plan(demand: np.ndarray, capacity: int = CAPACITY) -> Plan:
-    """Configurations and whole counts that hold every piece of the histogram exactly once."""
-    due = demand.astype(np.int64).copy()
+def best_fit(due: np.ndarray, started: Plan, capacity: int = CAPACITY) -> Plan:
+    """The plan completed: lengths in descending order go to the fullest sequence that has room, many alike at once."""
+    due = due.astype(np.int64).copy()
     rooms: dict[int, list[list]] = {}
     full = np.zeros(capacity + 1, bool)  # rooms with at least one group
 
@@ -188,12 +261,8 @@ def plan(demand: np.ndarray, capacity: int = CAPACITY) -> Plan:
         rooms.setdefault(room, []).append([config, n])
         full[room] = True
 
-    for config, times in sorted(fractional(demand, capacity).items(), key=lambda x: -x[1]):
-        names, counts = np.unique(config, return_counts=True)
-        n = min(int(times + 1e-6), int((due[names] // counts).min()))
-        if n > 0:
-            due[names] -= n * counts
-            put(config, n)
+    for config, n in started:
+        put(config, n)
     for length in range(capacity, 0, -1):
         while due[length]:
             room = length + int(full[length:].argmax())
@@ -217,6 +286,12 @@ def plan(demand: np.ndarray, capacity: int = CAPACITY) -> Plan:
     return sorted((config, n) for groups in rooms.values() for config, n in groups)
 
 
+def plan(demand: np.ndarray, capacity: int = CAPACITY) -> Plan:
+    """Configurations and whole counts that hold every piece of the histogram exactly once."""
+    started, due, _ = programmed(demand, capacity)
+    return best_fit(due, started, capacity)
+
+
 def runs(found: Plan) -> np.ndarray:
     """Rows (length, first rank, first sequence, offset), by length and rank: a slot of each configuration takes as many ranks as the configuration has sequences."""
     out, rank, sequence = [], {}, 0

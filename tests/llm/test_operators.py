@@ -117,6 +117,50 @@ def test_plan_is_whole_and_tight():
     assert sum(n for _, n in p) <= math.ceil(demand @ np.arange(4097) / 4096 * 1.01) + 1
 
 
+def filled(p):
+    return sum(n for _, n in p)
+
+
+def test_program_beats_best_fit_and_places_most():
+    """Lengths of which best-fit alone wastes two sequences in eleven; and a usual histogram, of which the program places nearly all and reaches its own bound."""
+    hard = np.zeros(4097, np.int64)
+    hard[[2089, 1106, 1065, 942]] = 6000, 6000, 6000, 12_000
+    started, due, bound = packing.programmed(hard)
+    assert not due.any() and filled(started) == 9000 == round(bound)
+    assert filled(packing.best_fit(hard, [])) == 11_000
+    g = np.random.default_rng(8)
+    usual = np.bincount(np.minimum(4096, g.lognormal(6, 1, 6000).astype(int) + 1), minlength=4097)
+    started, due, bound = packing.programmed(usual)
+    assert due.sum() < 0.05 * usual.sum()
+    assert bound <= filled(packing.plan(usual)) <= np.ceil(bound) + 2
+
+
+@settings(deadline=None, max_examples=25)
+@given(st.lists(st.tuples(st.integers(1, 12), st.integers(1, 4)), min_size=1, max_size=4))
+def test_bound_and_minimality(sizes):
+    """On small histograms the plan is never under its bound, and at most one over the fewest sequences."""
+    demand = np.zeros(13, np.int64)
+    for length, n in sizes:
+        demand[length] += n
+    items = tuple(int(i) for i in np.repeat(np.arange(13), demand))[::-1]
+
+    def fewest(k, rooms, best):
+        if len(rooms) >= best:
+            return best
+        if k == len(items):
+            return len(rooms)
+        for i, room in enumerate(rooms):
+            if room >= items[k] and room not in rooms[:i]:
+                best = fewest(k + 1, (*rooms[:i], room - items[k], *rooms[i + 1 :]), best)
+        return fewest(k + 1, (*rooms, 12 - items[k]), best)
+
+    _, bound = packing.duals(demand, 12)
+    got = filled(packing.plan(demand, 12))
+    if len(items) <= 8:
+        assert np.ceil(bound - 1e-6) <= fewest(0, (), 99) <= got <= fewest(0, (), 99) + 1
+    assert got >= np.ceil(bound - 1e-6)
+
+
 def test_packing_against_the_library(spark, documents, odd):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
