@@ -35,7 +35,7 @@ ROUNDS, ETA, SHORT, PASSES = 12, 0.3, (0.0, 1 / 2048, 1 / 512, 1 / 128, 1 / 32),
 #: A pricing that places a smaller share of what is due is the last of its kind.
 LEAST = 0.02
 #: Words and pre-tokens kept with their ids by a worker, and the longest that are; words in two generations, of which the older goes.
-MEMORY, KEPT = 400_000, 48
+MEMORY, KEPT = 200_000, 48
 #: Words whose lower case and normal form are plain, and how the vocabulary's published pattern splits them.
 PLAIN = regex.compile(r"[\x21-\x7e\u00c0-\u012f\u0131-\u017f]+")
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
