@@ -5,7 +5,8 @@ circle, the second, shifted by k around it, orders shingles for coordinate k. Ba
 coordinates are buckets. Texts with equal shingle sets form a class that only its
 smallest id represents. A bucket with few pairs gives them all; in a wide one every member
 is held against one centre, and again against others once links have been followed, until
-few pairs are left that no links join; those are all compared.
+few pairs are left that no links join, or a turn gains little; those are all compared, in
+tiles of bounded size, without making rows of pairs.
 Pairs whose signatures agree too little are dropped (five standard errors below the
 bound), all others are confirmed on their full sets.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_pass, checkpointed, texts_of
-from .components import components
+from .components import components, forest
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 40, 5
@@ -28,7 +29,12 @@ COORDINATES = BANDS * ROWS
 AGREE = 0.6
 #: Families of bands with a centre of their own, turns with centres at most, pairs for each member that count as few, and members of a tile.
 CENTRES, TURNS, FEW, TILE = 4, 6, 4, 2048
+#: Members on each side of a tile in which wide buckets are compared in full.
+SIDE = 128
+#: Share of the open pairs that a turn must leave at most, to be followed by another of its kind.
+GAIN = 0.7
 PAIR = ["a", "b", "ca", "cb"]
+TILED = "key long, t int, u int, id long, c long, asks boolean, others array<long>"
 #: Words kept with their hashes by a worker; beyond, the memory starts anew.
 MEMORY = 400_000
 #: Shingles hashed at once, so that the arrays stay in cache.
@@ -143,7 +149,7 @@ def signed(documents: DataFrame) -> DataFrame:
 def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b, ca, cb) that may be alike by their sizes and signatures."""
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("low").alias(f"l{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in (4, 5))
@@ -153,20 +159,20 @@ def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return arrow_pass(both, [*PAIR, "la", "lb"], run, "a long, b long, ca long, cb long")
 
 
-def id_filter(pairs: DataFrame, n: int):
-    """A Bloom filter of the ids in n pairs, of at most FILTER_MOST bits; beyond, it lets more through and the join after it decides."""
+def id_filter(ids: DataFrame, n: int):
+    """A Bloom filter of n ids, of at most FILTER_MOST bits; beyond, it lets more through and the join after it decides."""
     bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_BITS * n - 1).bit_length()))
-    place = lambda c, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(bits))
-    at = pairs.select(F.explode(F.array(*[place(c, seed) for c in "ab" for seed in (1, 2)])).alias("at"))
+    place = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(bits))
+    at = ids.select(F.explode(F.array(place(1), place(2))).alias("at"))
     words = at.groupBy(F.shiftright("at", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(at, 32) as int)))").alias("v")).toArrow()
     table = np.zeros(bits // 32, np.uint32)
     table[words.column("w").to_numpy()] = words.column("v").to_numpy().astype(np.uint32)
     return bits, table
 
 
-def confirmed(pairs: DataFrame, n: int, documents: DataFrame) -> DataFrame:
-    """(a, b): the components of those of the n pairs whose full shingle sets are alike enough; only their documents are read on."""
-    bits, table = id_filter(pairs, n)
+def sets_of(ids: DataFrame, n: int, documents: DataFrame) -> DataFrame:
+    """(id, s): the full shingle sets of the documents whose id is among the n ids; of other documents only the ids are read on."""
+    bits, table = id_filter(ids, n)
     shared = documents.sparkSession.sparkContext.broadcast(table)
     state: list[Shingles] = []
 
@@ -181,63 +187,141 @@ def confirmed(pairs: DataFrame, n: int, documents: DataFrame) -> DataFrame:
 
     place = lambda seed: F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(bits))
     read = documents.where("doc_id is not null").select(F.col("doc_id"), "text", place(1).alias("p"), place(2).alias("q"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = checkpointed(arrow_pass(read, ["doc_id", "text", "p", "q"], run, "id long, s array<long>").join(ids, "id", "left_semi"))
+    sets = checkpointed(arrow_pass(read, ["doc_id", "text", "p", "q"], run, "id long, s array<long>").join(ids.distinct().hint("merge"), "id", "left_semi"))
     shared.destroy()  # the sets lie in the shared folder: no task will ask for it again
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"))
+    return sets
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the components of those pairs whose full shingle sets are alike enough."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")).hint("merge")
     common = F.size(F.array_intersect("sa", "sb"))
     alike = common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT
     return pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
 
 
-def candidate_pairs(members: DataFrame, label: DataFrame | None, turn: int) -> DataFrame:
-    """(a, b, ca, cb, wide) from the buckets' members (band, key, id): pairs of one bucket and of different components.
-
-    A bucket with few such pairs gives them all. In a wide one, all members are held
-    against one centre, which differs between CENTRES families of bands and between turns,
-    so that few members miss all; in the last turn wide buckets give all pairs, too, dealt
-    out in tiles of TILE members."""
-    named = members.withColumn("c", F.col("id")) if label is None else members.join(label, "id")
-    named = named.select("key", "id", "c", F.xxhash64("id", F.col("band") % CENTRES, F.lit(turn)).alias("o"))
+def open_buckets(named: DataFrame) -> DataFrame:
+    """Buckets that hold several components: how many pairs of these are open, the component of most members, and a centre."""
     parts = named.groupBy("key", "c").agg(F.count("*").alias("m"), F.min(F.struct("o", "id")).alias("s"))
     whole = parts.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.max(F.struct("m", "c")).alias("main"), F.min(F.struct("s.o", "s.id", "c")).alias("centre"), F.count("*").alias("parts"))
-    wide = F.lit(False) if turn == TURNS else F.col("n") * F.col("n") - F.col("q") > FEW * F.col("n")
-    whole = whole.where("parts > 1").select("key", wide.alias("wide"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"), F.col("main.c").alias("cm"), F.col("centre.id").alias("x"), F.col("centre.c").alias("cx"))
-    held = named.select("key", "id", "c").join(whole, "key")
+    left = F.col("n") * F.col("n") - F.col("q")
+    return whole.where("parts > 1").select("key", left.alias("left"), (left > FEW * F.col("n")).alias("wide"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"), F.ceil(F.col("n") / SIDE).cast("int").alias("ts"), F.ceil((F.col("n") - F.col("main.m")) / SIDE).cast("int").alias("us"), F.col("main.c").alias("cm"), F.col("centre.id").alias("x"), F.col("centre.c").alias("cx"))
+
+
+def candidate_pairs(named: DataFrame, whole: DataFrame) -> DataFrame:
+    """(a, b, ca, cb): pairs of members of one bucket and of different components.
+
+    A bucket with few such pairs gives them all, dealt out in tiles of TILE members; in a
+    wide one all members are held against one centre, one pair each."""
+    held = named.select("key", "id", "c").join(whole.hint("merge"), "key")
     own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("tiles")).cast("int")
     others = held.where("not wide").select("key", own.alias("tile"), "id", "c")
     stray = held.where("not wide and c <> cm").select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("id").alias("x"), F.col("c").alias("cx"))
-    cols = ["id", "c", "x", "cx", "wide"]
-    few = others.join(stray, ["key", "tile"]).withColumn("wide", F.lit(False)).select(*cols)
-    both = held.where("wide").select(*cols).unionAll(few).where("c <> cx")
+    cols = ["id", "c", "x", "cx"]
+    both = held.where("wide").select(*cols).unionAll(others.join(stray.hint("merge"), ["key", "tile"]).select(*cols)).where("c <> cx")
     low = F.col("id") < F.col("x")
     swapped = lambda p, q: F.when(low, F.col(p)).otherwise(F.col(q))
-    both = both.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"), swapped("c", "cx").alias("ca"), swapped("cx", "c").alias("cb"), "wide")
-    return both.groupBy("a", "b").agg(F.min("ca").alias("ca"), F.min("cb").alias("cb"), F.max("wide").alias("wide"))
+    both = both.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"), swapped("c", "cx").alias("ca"), swapped("cx", "c").alias("cb"))
+    return both.groupBy("a", "b").agg(F.min("ca").alias("ca"), F.min("cb").alias("cb"))
+
+
+def tiled(named: DataFrame, whole: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, t, u, id, c, asks, others): in wide buckets, members to compare in full, dealt out in tiles.
+
+    A tile holds at most about SIDE members and SIDE of those outside the main component
+    (asks), with, for each of these, the members whose signatures agree enough. A pair that
+    shares several buckets stands in the first only. Pairs never become rows."""
+    held = named.select("key", "id", "c").join(whole.where("wide").select("key", "cm", "ts", "us").hint("merge"), "key")
+    held = held.join(reps.select(F.col("doc_id").alias("id"), "n", "bands", "low").hint("merge"), "id")
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit(9)), F.col(n)).cast("int")
+    place = lambda t, u, asks: F.struct(t.alias("t"), u.alias("u"), F.lit(asks).alias("asks"))
+    stray = F.col("c") != F.col("cm")
+    asked = F.transform(F.sequence(F.lit(0), F.col("us") - 1), lambda i: place(own("ts"), i, False))
+    asking = F.when(stray, F.transform(F.sequence(F.lit(0), F.col("ts") - 1), lambda i: place(i, own("us"), True))).otherwise(F.array().cast("array<struct<t:int,u:int,asks:boolean>>"))
+    dealt = held.select("key", "id", "c", "n", "bands", "low", stray.alias("stray"), F.explode(F.concat(asked, asking)).alias("x"))
+
+    def agree(table: pa.Table) -> pa.Table:
+        n, ids, comp, asks, strays = (table.column(k).to_numpy() for k in ("n", "id", "c", "asks", "stray"))
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(n), BANDS)
+        low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(n), COORDINATES)
+        band = int((bands[0] == table.column("key")[0].as_py()).argmax())
+        of, used, rows, others = np.flatnonzero(~asks), np.zeros(len(n), bool), [], []
+        for i in np.flatnonzero(asks).tolist():
+            near = (comp[of] != comp[i]) & (np.minimum(n[of], n[i]) * 100 >= np.maximum(n[of], n[i]) * PERCENT) & (~strays[of] | (ids[i] < ids[of]))
+            near &= ((low[of] == low[i]).mean(1) - 1 / 256) / (1 - 1 / 256) >= AGREE
+            near &= ~(bands[of, :band] == bands[i, :band]).any(1)
+            if near.any():
+                used[of[near]] = True
+                rows.append(i)
+                others.append(ids[of[near]])
+        all_ = np.concatenate([np.array(rows, np.int64), np.flatnonzero(used)])
+        out = table.select(["key", "t", "u", "id", "c", "asks"]).take(pa.array(all_))
+        return out.append_column("others", pa.array([*others, *[None] * int(used.sum())], pa.list_(pa.int64())))
+
+    return dealt.select("key", "x.*", "id", "c", "n", "bands", "low", "stray").groupBy("key", "t", "u").applyInArrow(agree, TILED)
+
+
+def tile_links(tiles: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): components joined by pairs of tiled() whose full sets are alike enough; a tile gives no more than join what it holds."""
+
+    def verify(table: pa.Table) -> pa.Table:
+        ids, comp, asks = (table.column(k).to_numpy() for k in ("id", "c", "asks"))
+        of = np.flatnonzero(~asks)
+        s = table.column("s").combine_chunks()
+        at, every = s.offsets.to_numpy(), s.values.to_numpy().view(np.uint64)
+        size = np.diff(at)
+        place = {int(ids[j]): k for k, j in enumerate(of)}
+        flat = np.concatenate([every[at[j] : at[j + 1]] for j in of]) if len(of) else np.zeros(0, np.uint64)
+        end = np.cumsum(size[of])
+        a, b, others = [], [], table.column("others")
+        for i in np.flatnonzero(asks).tolist():
+            mine = every[at[i] : at[i + 1]]
+            hit = np.concatenate([[0], np.cumsum(mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat)])
+            common = hit[end] - hit[end - size[of]]
+            k = np.array([place[x] for x in others[i].as_py()])
+            good = k[common[k] * 100 >= (size[of[k]] + size[i] - common[k]) * PERCENT]
+            a += [int(comp[i])] * len(good)
+            b += comp[of[good]].tolist()
+        edges = forest(a, b)
+        return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([x for _, x in edges], pa.int64())})
+
+    return tiles.join(sets.hint("merge"), "id").groupBy("key", "t", "u").applyInArrow(verify, "a long, b long")
 
 
 def linked(members: DataFrame, reps: DataFrame, documents: DataFrame) -> DataFrame | None:
-    """(id, c) of every representative, c its component, or None without any link: every pair of a bucket is confirmed, refused, or joined by other links.
+    """(id, c) of every representative, c its component, or None without any link: every pair of a bucket (band, key, id) is confirmed, refused, or joined by other links.
 
-    Each turn works on components found so far, so that a turn's links join components and
-    no earlier link is read again; a turn without wide buckets is the last."""
-    label, tested = None, None
+    Each turn works on the components found so far, so that its links join components and
+    no earlier link is read again. In wide buckets centres differ between CENTRES families
+    of bands and between turns, so that few members miss all; once few pairs are open in
+    wide buckets, or a turn has closed few of them, all are compared, within tiles."""
+    size, label, tested, before = members.count(), None, None, None
     for turn in range(TURNS + 1):
-        pairs = candidate_pairs(members, label, turn)
-        old = F.lit(False)
+        named = members.withColumn("c", F.col("id")) if label is None else members.join(label.hint("merge"), "id")
+        named = named.select("key", "id", "c", F.xxhash64("id", F.col("band") % CENTRES, F.lit(turn)).alias("o"))
+        whole = checkpointed(open_buckets(named))
+        left = whole.agg(F.sum(F.when(F.col("wide"), F.col("left"))).alias("n")).first().n or 0
+        last = turn == TURNS or left <= FEW * size * (turn > 0) or (before is not None and left > GAIN * before)
+        before = left
+        pairs = candidate_pairs(named, whole.where("not wide") if last else whole)
         if tested is not None:
-            pairs, old = pairs.join(tested.withColumn("old", F.lit(True)), ["a", "b"], "left"), F.col("old").isNotNull()
-        pairs = checkpointed(pairs.select(*PAIR, "wide", old.alias("old")).where("wide or not old"))
-        size = pairs.agg(F.sum(F.when(F.col("old"), 0).otherwise(1)).alias("n"), F.max("wide").alias("wide")).first()
-        if size.n:
-            new = pairs.where("not old").select(*PAIR)
-            tested = new.select("a", "b") if tested is None else tested.unionAll(new.select("a", "b"))
-            some = checkpointed(agreeing(new, reps))
-            if n := some.count():
-                found = components(confirmed(some, n, documents)).select(F.col("node").alias("c"), F.col("component").alias("to"))
-                known = reps.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("c")) if label is None else label
-                label = checkpointed(known.join(found, "c", "left").select("id", F.coalesce("to", "c").alias("c")))
-        if not size.wide:
+            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
+        pairs = checkpointed(pairs)
+        tested = pairs.select("a", "b") if tested is None else tested.unionAll(pairs.select("a", "b"))
+        some = checkpointed(agreeing(pairs, reps))
+        ids = some.select(F.explode(F.array("a", "b")).alias("id"))
+        tiles = checkpointed(tiled(named, whole, reps)) if last and left else None
+        if tiles is not None:
+            ids = ids.unionAll(tiles.select("id"))
+        if n := ids.count():
+            sets = sets_of(ids, n, documents)
+            links = confirmed(some, sets)
+            if tiles is not None:
+                links = links.unionAll(tile_links(tiles, sets))
+            found = components(links).select(F.col("node").alias("c"), F.col("component").alias("to"))
+            known = reps.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("c")) if label is None else label
+            label = checkpointed(known.join(found.hint("merge"), "c", "left").select("id", F.coalesce("to", "c").alias("c")))
+        if last:
             break
     return label
 
@@ -254,11 +338,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     reps = checkpointed(first.select("d1", "d2", "s.*"))
     buckets = reps.select(F.posexplode("bands").alias("band", "key"), F.col("doc_id").alias("id"))
     several = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    members = checkpointed(buckets.join(several, "key"))
+    members = checkpointed(buckets.join(several.hint("merge"), "key"))
     label = linked(members, reps, documents)
     known = reps.select("d1", "d2", F.col("doc_id").alias("id"))
-    classes = known.select("d1", "d2", F.col("id").alias("c")) if label is None else known.join(label, "id").select("d1", "d2", "c")
-    out = rows.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
+    classes = known.select("d1", "d2", F.col("id").alias("c")) if label is None else known.join(label.hint("merge"), "id").select("d1", "d2", "c")
+    out = rows.select("doc_id", "n", "d1", "d2").join(classes.hint("merge"), ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed
-from .components import components
+from .components import components, forest
 
 COSINE = 0.98
 #: Link radius between unit vectors, with room for rounding.
@@ -110,25 +110,6 @@ def fixed(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Those links (a, b) that join what earlier ones haven't."""
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = up[y]
-            x = y
-        return x
-
-    kept = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = top(x), top(y)
-        if p != q:
-            up[p] = q
-            kept.append((x, y))
-    return kept
-
-
 def near_vectors(embeddings: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
@@ -212,7 +193,7 @@ def _linked(classes: DataFrame, model: Quantiser, width: int) -> DataFrame:
             i, j = i[close], j[close]
             total = np.bincount(i, copies[j], len(ids)).astype(np.int64)
             some = np.flatnonzero(total)
-            edges = forest(ids[i], ids[j])
+            edges = forest(ids[i].tolist(), ids[j].tolist())
             a = [*ids[some].tolist(), *(e[0] for e in edges)]
             b = [None] * len(some) + [e[1] for e in edges]
             n = [*total[some].tolist(), *([0] * len(edges))]

@@ -336,6 +336,34 @@ def test_minhash_against_brute_force(spark, documents, odd):
         assert minhash.keep_one(d).count() == sum(r.kept for r in out)
 
 
+@pytest.mark.parametrize("gain", [0.7, -1.0])
+def test_minhash_wide_buckets(spark, monkeypatch, gain):
+    """A bucket of near copies of which many are just under the bound: links and their absence are those of brute force, with and without turns of centres before the tiles."""
+    monkeypatch.setattr(minhash, "GAIN", gain)
+    monkeypatch.setattr(minhash, "SIDE", 16)
+    g = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        hit = {int(x) for x in g.choice(200, g.integers(1, 12), replace=False)}
+        rows.append((i, " ".join(f"x{i}_{j}" if j in hit else w for j, w in enumerate(base))))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(196)} for _, t in rows]
+    up = list(range(150))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(150):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                p, q = top(a), top(b)
+                up[max(p, q)] = min(p, q)
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: top(i) for i in range(150)}
+
+
 # ------------------------------------------------ 7 BPE
 
 
