@@ -264,8 +264,13 @@ def spans_by_hand(t):
     return sorted(out)
 
 
+def cases_of(texts):
+    rows = list(secret_scan.labelled(texts))
+    return [r[1:] for r in rows], [r[0] for r in rows]
+
+
 def test_secrets(spark, odd):
-    net = secret_scan.fit([f"here is {s} in a text" for s in SECRETS])
+    net = secret_scan.fit(*cases_of([f"here is {s} in a text" for s in SECRETS]))
     texts = [f"before {s} after ü {s}" for s in SECRETS]
     for t in texts:
         assert secret_scan.base_spans(t) == spans_by_hand(t)
@@ -273,7 +278,7 @@ def test_secrets(spark, odd):
     for r in secret_scan.secret_scan(d, net).collect():
         base = spans_by_hand(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(secret_scan.written(base).encode()).hexdigest()
-        assert set(secret_scan.written(base).split(",")) <= set(r.spans.split(","))
+        assert {x for x in secret_scan.written(base).split(",") if x} <= set(r.spans.split(","))
     masked = {r.doc_id: r.text for r in secret_scan.mask_secrets(d, net).collect()}
     assert not any("f" * 24 in t for t in masked.values())
     assert secret_scan.secret_scan(odd, net).count() == len(ODD) == secret_scan.mask_secrets(odd, net).count()
@@ -284,7 +289,7 @@ def test_secrets_beyond_mixed_runs():
     g = np.random.default_rng(8)
     run = "".join(g.choice(list("bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ"), 32))
     texts = ['so pwd = "Tr0ub4dor&3" there', "the auth_key: hunter2x there", 'a password = "S3c!ret" there', f"and {run} there", "auth=83650194726583016492 there", "secret=abc123def@#9Z there"]
-    scanner = secret_scan.Scanner(secret_scan.fit([]))
+    scanner = secret_scan.Scanner(secret_scan.fit([], []))
     for t, want in zip(texts, ["Tr0ub4dor&3", "hunter2x", "S3c!ret", run, "83650194726583016492", "@#9Z"], strict=True):
         _, every, _ = scanner.spans([t])[0]
         assert want not in secret_scan.masked(t, every), (t, every)
@@ -292,8 +297,39 @@ def test_secrets_beyond_mixed_runs():
     assert [every for _, every, _ in scanner.spans(plain)] == [[]] * 4
 
 
+def test_secret_net_by_hand():
+    """Probabilities of the query against the network's sums written out; a key in the middle of a long run is seen; the threshold keeps the asked recall."""
+    net = secret_scan.fit([], [])
+    assert net.report["recall"] >= secret_scan.RECALL - 0.005 and net.report["findings"] > 100
+    g = np.random.default_rng(3)
+    key = "".join(g.choice(list("ABCDEFGHJKMNPQRSTUVWXYZ23456789abcdefghjkmnpqrstuvwxyz"), 40))
+    text = "see /home/pages/" + "letters/" * 8 + key + "/letters" * 8 + " there"
+    text = text.replace("/", "_")
+    a, b = secret_scan.candidates(text)[0]
+    views = secret_scan.views(text, a, b)
+    assert len(views) > 4 and {c for v in views for c in range(text.index(v[0]), text.index(v[0]) + len(v[0]))} >= set(range(a, b))
+    code = {**{c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}, **{c: 0 for c in "abcdef"}, **{c: 26 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: 27 for c in "0123456789"}, **{chr(c): 28 + i for i, c in enumerate(b"=:_-+/.\"' ")}}
+    probs = []
+    for t, s, e in views:
+        left, right = t[max(0, s - 24) : s], t[e : e + 24]
+        head, tail = t[s : min(e, s + 24)], t[max(s, e - 24) : e]
+        x = [39] * (24 - len(left)) + [code[c] for c in left] + [code[c] for c in head] + [39] * (48 - len(head) - len(tail)) + [code[c] for c in tail] + [code[c] for c in right] + [39] * (24 - len(right))
+        n, w = 96 - 5 + 1, net.p["w"]
+        r = [[max(0.0, net.p["b"][f] + sum(w[k][x[i + k]][f] for k in range(5))) for f in range(16)] for i in range(n)]
+        z, at = net.p["d"][0], 0
+        quarters = [[int(i) for i in q] for q in np.array_split(np.arange(n), 4)]
+        for kind in (max, lambda v: sum(v) / len(v)):
+            for q in quarters:
+                for f in range(16):
+                    z += net.p["o"][at] * kind([r[i][f] for i in q])
+                    at += 1
+        probs.append(1 / (1 + math.exp(-(net.slope * z + net.shift))))
+    assert abs(secret_scan.Scanner(net).spans([text])[0][2] - max(probs)) < 1e-9
+    assert max(probs) >= net.threshold
+
+
 def test_secret_net_tells_keys_from_words():
-    net = secret_scan.fit([])
+    net = secret_scan.fit([], [])
     made = secret_scan.key_samples(seed=99, n=60)
     assert (net.probability(secret_scan.windows(made)) >= net.threshold).mean() > 0.8
     assert (net.probability(secret_scan.windows(secret_scan.decoys(seed=98, n=60))) >= net.threshold).mean() < 0.1
