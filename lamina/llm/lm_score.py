@@ -1,14 +1,17 @@
 """LM scoring: a log-bilinear neural model in numpy, trained by noise-contrastive estimation.
 
 Its outcomes are those of the base: the training words, one unknown word, and the end.
-Counts of words and of word-class trigrams are gathered from all training documents. The
-most frequent words are known by place; each belongs to a class (the most frequent have
-their own, others share one by frequency), and all rare words and the unknown one to the
-last. A log-bilinear model predicts a class from the two before it; words divide their
-class's probability by their counts, from which, in the rare class, absolute discounting
-sets the unknown word's share aside. One batched matrix product over all contexts gives
-the normalised log-probabilities of classes, so a text's score is a sum of look-ups; the
-counts of rare words come by a join.
+Words are counted over all training documents. The most frequent have a context vector,
+an output vector and a class each; all rare words and the unknown one make up the last
+class. The two words before a token, as vectors turned by a matrix for each
+place, predict the token's class, by a softmax over classes, and the word, by a softmax
+over the words of that class; batched matrix products give both. A rare word has
+its share, by count, of its class, from which absolute discounting sets the unknown
+word's share aside; counts of words that the workers don't know come by a join.
+
+Training begins at the driver, on a bounded sample, and goes on over all training
+documents: each task takes a step for every BATCH of its tokens, and tasks' parameters are
+averaged, a word's by how often each task met it.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,139 +30,242 @@ from pyspark.sql import functions as F
 from .common import checkpointed, crc_fold, small_batches, texts_of
 
 PARTS, HELD = 5, 1
-#: Known words, most classes, distinct words that a counting task holds before it passes them on.
-KNOWN, CLASSES, FLUSH = 200_000, 64, 400_000
-#: Words kept with their places by a worker.
+#: Words whose counts the workers know, words with vectors, most classes, words with a class of their own, distinct words that a counting task holds before it passes them on.
+KNOWN, NEURAL, CLASSES, ALONE, FLUSH = 200_000, 32_768, 192, 64, 400_000
+#: Words kept with their places and hashes by a worker.
 MEMORY = 400_000
-DIM, NOISE, STEPS, BATCH = 16, 8, 500, 4096
+DIM, BATCH, NOISE, RATE = 16, 8192, 32, 0.05
+#: Documents of the driver's first steps, and training tokens for which a task is worth its parameters.
+FIRST_DOCS, TASK_TOKENS = 2000, 8_000_000
+#: Tokens scored at once against all classes.
+STEP = 1024
 SCHEMA = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"
 
 
-def _key(word: bytes) -> int:
+def _key(word: str) -> int:
     """A word's 64-bit hash as a signed number; the end of a text is the empty word's."""
-    h = xxhash.xxh3_64_intdigest(word)
+    h = xxhash.xxh3_64_intdigest(word.encode())
     return h - (1 << 64) if h >> 63 else h
 
 
-END = _key(b"")
+END = _key("")
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().lower().split()  # bytes: A-Z only, ASCII white space only
 
-
-class LogBilinear:
-    """Predicts one of n symbols from the two before it; symbol n stands before the start."""
-
-    def __init__(self, n: int, seed: int):
-        g = np.random.default_rng(seed)
-        self.n = n
-        self.r = g.normal(0, 0.1, (n + 1, DIM)).astype(np.float32)  # of context symbols
-        self.c = g.normal(0, 1 / np.sqrt(DIM), (2, DIM, DIM)).astype(np.float32)  # of context places
-        self.q = g.normal(0, 0.1, (n, DIM)).astype(np.float32)  # of predicted symbols
-        self.b = np.zeros(n, np.float32)
-
-    def fit(self, codes: np.ndarray, counts: np.ndarray, steps: int = STEPS, rate: float = 0.05, seed: int = 5) -> None:
-        """Noise-contrastive estimation on trigrams (code = (before * (n+1) + last) * n + next), drawn by their counts."""
-        if not len(codes):
-            return
-        g = np.random.default_rng(seed)
-        share = np.bincount(codes % self.n, counts, self.n) + 0.5
-        noise = share / share.sum()
-        self.b = np.log(noise).astype(np.float32)
-        cut, cut_noise = np.cumsum(counts) / counts.sum(), np.cumsum(noise)
-        log_kn = np.log(NOISE * noise)
-        state = [np.full_like(p, 1e-3) for p in (self.r, self.c, self.q, self.b)]
-        for step in range(steps):
-            code = codes[np.minimum(np.searchsorted(cut, g.random(BATCH)), len(codes) - 1)]
-            c1, c2, w = code // self.n // (self.n + 1), code // self.n % (self.n + 1), code % self.n
-            some = np.minimum(np.searchsorted(cut_noise, g.random((BATCH, NOISE))), self.n - 1)
-            at = np.concatenate([w[:, None], some], 1)
-            h = self.r[c1] @ self.c[0] + self.r[c2] @ self.c[1]
-            q = self.q[at]
-            s = np.einsum("bd,bkd->bk", h, q) + self.b[at] - log_kn[at]
-            d = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-            d[:, 0] -= 1
-            d = (d / BATCH).astype(np.float32)
-            dh = np.einsum("bk,bkd->bd", d, q)
-            grads = [np.zeros_like(p) for p in (self.r, self.c, self.q, self.b)]
-            for k, c in enumerate((c1, c2)):
-                grads[1][k] = self.r[c].T @ dh
-                np.add.at(grads[0], c, dh @ self.c[k].T)
-            flat, dq = at.ravel(), (d[:, :, None] * h[:, None]).reshape(-1, DIM)
-            for j in range(DIM):
-                grads[2][:, j] = np.bincount(flat, dq[:, j], self.n)
-            grads[3] = np.bincount(flat, d.ravel(), self.n).astype(np.float32)
-            lr = rate * (1 - 0.9 * step / steps)
-            for p, s2, gr in zip((self.r, self.c, self.q, self.b), state, grads, strict=True):
-                s2 += gr * gr
-                p -= lr * gr / np.sqrt(s2)
-
-    def table(self) -> np.ndarray:
-        """log10 probabilities of every next symbol after every pair: rows of pairs, each summing to one."""
-        h = (self.r @ self.c[0])[:, None] + (self.r @ self.c[1])[None]
-        out = h.reshape(-1, DIM) @ self.q.T + self.b
-        out -= out.max(1, keepdims=True)
-        out -= np.log(np.exp(out).sum(1, keepdims=True))
-        return (out / np.log(10)).astype(np.float32)
+def tokens_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of the texts, the end (the empty word) last; each token's place among them, text after text; and where each text ends."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    offsets = split.offsets.to_numpy()
+    at = np.insert(coded.indices.to_numpy().astype(np.int64), offsets[1:] - offsets[0], len(words))
+    ends = offsets[1:] - offsets[0] + np.arange(1, len(texts) + 1)
+    if "" not in words:
+        return [*words, ""], at, ends
+    # Splitting leaves an empty string where a text begins or ends with white space: no word.
+    keep = at != words.index("")
+    return [*words, ""], at[keep], np.cumsum(keep)[ends - 1]
 
 
 class Lexicon:
-    """Known words by hash, their counts and classes."""
+    """Known words by hash, with their counts; the most frequent have a rank and, by rank, a class, the others are rare."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, once: int, twice: int):
         order = np.argsort(keys)
         self.keys, self.counts = keys[order], counts[order]
         self.tokens, self.distinct = tokens, distinct
-        # The most frequent words, the end among them, have a class each, other known words one by frequency, rare words the last.
-        rank = np.empty(len(keys), np.int64)
-        rank[np.lexsort((self.keys, -self.counts))] = np.arange(len(keys))
-        alone = CLASSES - 17
-        late = alone + np.minimum(15, np.log2(np.maximum(rank - alone, 0) / 64 + 1)).astype(np.int64)
-        self.cls = np.where(rank < alone, rank, late)
-        at = np.flatnonzero(self.keys == END)
-        self.end = int(at[0]) if len(at) else -1
-        total = np.bincount(self.cls, self.counts, CLASSES)
-        self.within = np.log10(self.counts / np.maximum(total[self.cls], 1)) if len(keys) else np.zeros(0)
-        self.rare = CLASSES - 1
-        self.rare_tokens = tokens - int(counts.sum())
-        rare_words = distinct - len(keys)
+        by = np.lexsort((self.keys, -self.counts))[:NEURAL]
+        self.rank = np.full(len(keys), -1)
+        self.rank[by] = np.arange(len(by))
+        self.ranked = self.counts[by]
+        # The first ranks, the end among them, have a class each; others share one with words of like frequency, classes being of like count.
+        mass = np.cumsum(self.ranked[ALONE:])
+        share = CLASSES - 1 - ALONE
+        late = np.minimum((mass - 1) * share // max(int(mass[-1]), 1), share - 1) if len(mass) else mass
+        _, self.cls = np.unique(np.concatenate([np.arange(min(ALONE, len(by))), ALONE + late]).astype(np.int64), return_inverse=True)
+        self.rare = int(self.cls.max()) + 1 if len(self.cls) else 0  # the last class
+        self.rare_tokens = tokens - int(self.ranked.sum())
+        rare_words = distinct - len(by)
         self.discount = once / (once + 2 * twice) if once else 0.5
         # Where training has no rare word, the class is the unknown word's alone.
         self.unknown = self.discount * rare_words / self.rare_tokens if self.rare_tokens else 1.0
-
-    def place(self, key: int) -> int:
-        i = int(np.searchsorted(self.keys, key))
-        return i if i < len(self.keys) and self.keys[i] == key else -1
+        self.share = np.where(self.rank < 0, np.log10((self.counts - self.discount) / max(self.rare_tokens, 1)), 0.0)
+        self.log_counts = np.log10(self.counts + 0.5)
 
 
 class Reader:
-    """Places of words, -1 for rare ones, kept for words met before."""
+    """Places of known words, -1 for others, and hashes, kept for words met before."""
 
     def __init__(self, lexicon: Lexicon):
-        known = dict(zip(lexicon.keys.tolist(), range(len(lexicon.keys)), strict=True))
+        self.lexicon = lexicon
 
-        class Places(dict):
-            def __missing__(self, word: bytes) -> int:
+        class Hashes(dict):
+            def __missing__(self, word: str) -> int:
                 if len(self) > MEMORY:
                     self.clear()
-                i = self[word] = known.get(_key(word), -1)
-                return i
+                h = self[word] = _key(word)
+                return h
+
+        self.hashes = Hashes()
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place and hash of each token, and where each text ends."""
+        words, at, ends = tokens_of(texts)
+        key = np.fromiter(map(self.hashes.__getitem__, words), np.int64, len(words))
+        keys = self.lexicon.keys
+        if not len(keys):
+            return np.full(len(at), -1), key[at], ends
+        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        place[keys[place] != key] = -1
+        return place[at], key[at], ends
+
+    def ranks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each token, -1 for rare ones, and where each text ends."""
+        place, _, ends = self.read(texts)
+        return self.lexicon.rank[place] * (place >= 0) - (place < 0) if len(self.lexicon.keys) else place, ends
 
-        self.lexicon, self.places = lexicon, Places()
 
-    def read(self, text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Words, places of words and end, and classes of these."""
-        words = words_of(text)
-        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        at = np.append(at, self.lexicon.end)
-        cls = np.where(at >= 0, self.lexicon.cls[at], self.lexicon.rare) if len(self.lexicon.keys) else np.full(len(at), self.lexicon.rare)
-        return words, at, cls
+class LogBilinear:
+    """Scores of classes and of words after two words; words go by their rank; context n is a rare word, the next one stands before a text's start."""
+
+    NAMES = ("r", "c", "q", "u")
+
+    def __init__(self, lexicon: Lexicon, seed: int = 1):
+        g, n, k = np.random.default_rng(seed), len(lexicon.ranked), lexicon.rare + 1
+        self.cls, self.n, self.k, f = lexicon.cls, n, k, np.float32
+        per = np.bincount(lexicon.cls, lexicon.ranked, k)
+        per[-1] += lexicon.rare_tokens
+        #: Shares of noise, as logarithms times the number of noise draws and as sums.
+        self.log_noise, self.sums = {}, {}
+        for name, counts in (("q", lexicon.ranked), ("u", per)):
+            share = (counts + 0.5) / (counts + 0.5).sum() if len(counts) else counts.astype(float)
+            self.log_noise[name], self.sums[name] = np.log(NOISE * share).astype(f), np.cumsum(share)
+        outputs = lambda name: np.concatenate([np.zeros((len(self.sums[name]), DIM), f), (self.log_noise[name] - f(np.log(NOISE)))[:, None]], 1)
+        self.p = {
+            "r": g.normal(0, 0.1, (n + 2, DIM)).astype(f),  # of context words
+            "c": g.normal(0, 1 / np.sqrt(DIM), (2 * DIM, DIM)).astype(f),  # of context places
+            "q": outputs("q"),  # of words, with what a word has in any context last
+            "u": outputs("u"),  # of classes, likewise
+        }
+
+    def contexts(self, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The context before last and the last one of each token."""
+        x = np.where(at >= 0, at, self.n)
+        out = []
+        for back in (2, 1):
+            c = np.full(len(x), self.n + 1, np.int64)
+            c[back:] = x[:-back]
+            for k in range(back):
+                first = np.concatenate([[0], ends[:-1]]) + k
+                c[first[first < ends]] = self.n + 1
+            out.append(c)
+        return out[0], out[1]
+
+    def fit(self, at: np.ndarray, ends: np.ndarray, state: dict, g: np.random.Generator) -> None:
+        """Noise-contrastive steps over a run of texts, one for each BATCH of tokens; noise is shared by a step's tokens. state: sums of squares and counts of updates, kept by the caller."""
+        c1, c2 = self.contexts(at, ends)
+        cls = np.where(at >= 0, self.cls[at] if self.n else 0, self.k - 1)
+        order = g.permutation(len(at))
+        for i in range(0, len(order), BATCH):
+            k = order[i : i + BATCH]
+            self._step(c1[k], c2[k], at[k], cls[k], state, g)
+
+    def _step(self, c1, c2, at, cls, state, g) -> None:
+        r, c = self.p["r"], self.p["c"]
+        x = np.concatenate([r[c1], r[c2]], 1)
+        h = np.concatenate([x @ c, np.ones((len(x), 1), np.float32)], 1)
+        dh = self._contrast("u", h, cls, state, g)
+        known = np.flatnonzero(at >= 0)
+        if len(known):
+            dh[known] += self._contrast("q", h[known], at[known], state, g)
+        dx = dh @ c.T
+        self._move("c", None, x.T @ dh, state, len(at))
+        self._move("r", np.concatenate([c1, c2]), np.concatenate([dx[:, :DIM], dx[:, DIM:]]), state)
+
+    def _contrast(self, name, h, at, state, g) -> np.ndarray:
+        """One step of the outcomes' vectors against shared noise; gives the gradient of the context."""
+        p, less = self.p[name], self.log_noise[name]
+        some = np.minimum(np.searchsorted(self.sums[name], g.random(NOISE)), len(p) - 1)
+        q, n = p[at], p[some]
+        d = -1 / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", h, q) - less[at], 30)))
+        e = h @ n.T
+        e -= less[some]
+        np.exp(np.minimum(-e, 30, out=e), out=e)
+        e += 1
+        np.divide(1, e, out=e)
+        self._move(name, np.concatenate([at, some]), np.concatenate([d[:, None] * h, e.T @ h]), state)
+        return d[:, None] * q[:, :DIM] + e @ n[:, :DIM]
+
+    def _move(self, name, rows, grad, state, n=0) -> None:
+        """An adaptive step of the named parameter's rows, None for all."""
+        p, (squares, met) = self.p[name], state[name]
+        if rows is None:
+            squares += grad * grad
+            met += n
+            p -= RATE * grad / np.sqrt(squares)
+            return
+        order = np.argsort(rows)
+        sorted_ = rows[order]
+        start = np.flatnonzero(np.diff(sorted_, prepend=-1))
+        at, total = sorted_[start], np.add.reduceat(grad[order], start)
+        s = squares[at]
+        s += total * total
+        squares[at] = s
+        met[at] += np.diff(np.append(start, len(rows)))
+        p[at] -= np.float32(RATE) * total / np.sqrt(s)
+
+    def fresh(self) -> dict:
+        return {k: (np.full_like(v, 1e-2), np.zeros(len(v))) for k, v in self.p.items()}
 
+    @cached_property
+    def turned(self) -> tuple[np.ndarray, np.ndarray]:
+        """Context vectors turned by each place's matrix."""
+        return self.p["r"] @ self.p["c"][:DIM], self.p["r"] @ self.p["c"][DIM:]
 
-def trigrams(symbols: np.ndarray, n: int) -> np.ndarray:
-    """Codes of a text's symbols, each after the two before it."""
-    x = np.concatenate([[n, n], symbols])
-    return (x[:-2] * (n + 1) + x[1:-1]) * n + x[2:]
+    @cached_property
+    def members(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known words by class, where each class begins, and each word's place in its class."""
+        by = np.argsort(self.cls, kind="stable")
+        start = np.searchsorted(self.cls[by], np.arange(self.k + 1))
+        inside = np.empty(self.n, np.int64)
+        inside[by] = np.arange(self.n) - start[self.cls[by]]
+        return by, start, inside
+
+    def logs(self, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each token; of a rare one, its class's."""
+        c1, c2 = self.contexts(at, ends)
+        (first, second), (by, start, inside) = self.turned, self.members
+        h = first[c1] + second[c2]
+        known = at >= 0
+        cls = np.full(len(at), self.k - 1)
+        cls[known] = self.cls[at[known]]
+        out = np.empty(len(at))
+        u, a = np.ascontiguousarray(self.p["u"][:, :DIM].T), self.p["u"][:, DIM]
+        # Where no score can be large, exponentials need no shift.
+        long = np.sqrt((h * h).sum(1).max(initial=0))
+        plain = all(long * np.sqrt((v[:, :DIM] ** 2).sum(1).max(initial=0)) + np.abs(v[:, DIM]).max(initial=0) < 60 for v in (self.p["u"], self.p["q"]))
+        for i in range(0, len(at), STEP):
+            x = h[i : i + STEP] @ u
+            x += a
+            own = x[np.arange(len(x)), cls[i : i + STEP]].astype(np.float64)
+            top = 0.0 if plain else x.max(1, keepdims=True)
+            out[i : i + STEP] = own - np.ravel(top) - np.log(np.exp(x if plain else x - top, out=x).sum(1))
+        order = np.flatnonzero(known)
+        order = order[np.argsort(cls[order], kind="stable")]
+        cut = np.searchsorted(cls[order], np.arange(self.k + 1))
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            words = by[start[k] : start[k + 1]]
+            if len(words) == 1:
+                continue
+            q, b = np.ascontiguousarray(self.p["q"][words, :DIM].T), self.p["q"][words, DIM]
+            step = max(1, STEP * 1024 // len(words))
+            for i in range(cut[k], cut[k + 1], step):
+                mine = order[i : min(i + step, cut[k + 1])]
+                x = h[mine] @ q
+                x += b
+                own = x[np.arange(len(x)), inside[at[mine]]].astype(np.float64)
+                top = 0.0 if plain else x.max(1, keepdims=True)
+                out[mine] += own - np.ravel(top) - np.log(np.exp(x if plain else x - top, out=x).sum(1))
+        return out
 
 
 def counted(documents: DataFrame) -> DataFrame:
@@ -173,71 +280,94 @@ def counted(documents: DataFrame) -> DataFrame:
 
         for b in batches:
             use = crc_fold(b.column(0).to_pylist(), PARTS) != HELD
-            for text, u in zip(texts_of(b), use, strict=True):
-                if u:
-                    held.update(words_of(text))
-                    held[b""] += 1
+            words, at, _ = tokens_of([t for t, u in zip(texts_of(b), use, strict=True) if u])
+            n = np.bincount(at, minlength=len(words))
+            for w, c in zip(words, n.tolist(), strict=True):
+                if c:
+                    held[w] += c
             if len(held) > FLUSH:
                 yield out()
-                held = Counter()
+                held.clear()
         if held:
             yield out()
 
     return checkpointed(documents.select("doc_id", "text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
 
 
-def class_counts(documents: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Trigrams of classes over all training documents: codes, of which there is a fixed number at most, and counts."""
-    shared = documents.sparkSession.sparkContext.broadcast(lexicon)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, held = Reader(shared.value), np.zeros((CLASSES + 1) ** 2 * CLASSES, np.int64)
-        for b in batches:
-            use = crc_fold(b.column(0).to_pylist(), PARTS) != HELD
-            codes = [trigrams(reader.read(text)[2], CLASSES) for text, u in zip(texts_of(b), use, strict=True) if u]
-            if codes:
-                u, n = np.unique(np.concatenate(codes), return_counts=True)
-                held[u] += n
-        at = np.flatnonzero(held)
-        for i in range(0, len(at), 10_000):
-            k = at[i : i + 10_000]
-            yield pa.RecordBatch.from_pydict({"code": pa.array(k), "n": pa.array(held[k])})
-
-    rows = documents.select("doc_id", "text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    code, n = rows.column("code").to_numpy(), rows.column("n").to_numpy()
-    order = np.argsort(code)
-    return code[order], n[order]
-
-
 class Model:
-    def __init__(self, lexicon: Lexicon, classes: LogBilinear):
-        self.lexicon, self.classes = lexicon, classes
+    def __init__(self, lexicon: Lexicon, net: LogBilinear):
+        self.lexicon, self.net = lexicon, net
 
     def __getstate__(self):
-        return {"lexicon": self.lexicon, "classes": self.classes}
-
-    @cached_property
-    def table(self) -> np.ndarray:
-        return self.classes.table().ravel()
+        return {"lexicon": self.lexicon, "net": self.net}
 
     @cached_property
     def reader(self) -> Reader:
         return Reader(self.lexicon)
 
-    @cached_property
-    def log_counts(self) -> np.ndarray:
-        return np.log10(self.lexicon.counts + 0.5)
-
-    def rows(self, texts: list[str]) -> list[tuple]:
-        """(tokens, known tokens, their base terms, score but for rare words' shares of their class, rare words' hashes and times) of each text."""
-        lex, out = self.lexicon, []
-        for text in texts:
-            words, at, cls = self.reader.read(text)
-            known = at[at >= 0]
-            score = float(self.table[trigrams(cls, CLASSES)].sum(dtype=np.float64) + lex.within[known].sum())
-            times = Counter([words[i] if i < len(words) else b"" for i in np.flatnonzero(at < 0).tolist()])
-            out.append((len(at), len(known), float(self.log_counts[known].sum()), score, [_key(w) for w in times], list(times.values())))
-        return out
+    def rows(self, texts: list[str]) -> dict[str, pa.Array]:
+        """Tokens, known tokens, their base terms, score but for rare words' shares of their class, rare words' hashes and times of each text."""
+        at, key, ends = self.reader.read(texts)
+        n = len(texts)
+        owner = np.repeat(np.arange(n), np.diff(ends, prepend=0))
+        known = at >= 0
+        lex = self.lexicon
+        rank = np.full(len(at), -1)
+        rank[known] = lex.rank[at[known]]
+        score = np.bincount(owner, self.net.logs(rank, ends), n) / np.log(10) + np.bincount(owner[known], lex.share[at[known]], n)
+        base = np.bincount(owner[known], lex.log_counts[at[known]], n)
+        pair = np.stack([owner[~known], key[~known]], 1)
+        order = np.lexsort((pair[:, 1], pair[:, 0]))
+        pair = pair[order]
+        new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]).any(1)])) if len(pair) else np.zeros(0, np.int64)
+        offsets = pa.array(np.searchsorted(pair[new, 0], np.arange(n + 1)).astype(np.int32))
+        return {
+            "n_tokens": pa.array(np.diff(ends, prepend=0)),
+            "known": pa.array(np.bincount(owner[known], minlength=n)),
+            "base": pa.array(base),
+            "score": pa.array(score),
+            "rare": pa.ListArray.from_arrays(offsets, pa.array(pair[new, 1])),
+            "times": pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.append(new, len(pair))).astype(np.int32))),
+        }
+
+
+def training_texts(batch: pa.RecordBatch) -> list[str]:
+    use = crc_fold(batch.column(0).to_pylist(), PARTS) != HELD
+    return [t for t, u in zip(texts_of(batch), use, strict=True) if u]
+
+
+def averaged(documents: DataFrame, model: Model) -> None:
+    """One pass of training steps over all training documents; tasks' parameters, averaged by how often each met them, replace the model's."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    tasks = max(1, -(-model.lexicon.tokens // TASK_TOKENS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        g = np.random.default_rng(TaskContext.get().partitionId())
+        reader, net = shared.value.reader, LogBilinear(shared.value.lexicon)
+        net.p = {k: v.copy() for k, v in shared.value.net.p.items()}
+        state = net.fresh()
+        for b in batches:
+            net.fit(*reader.ranks(training_texts(b)), state, g)
+        for kind, name in enumerate(net.NAMES):
+            met = state[name][1]
+            some = np.flatnonzero(met)
+            for i in range(0, len(some), 10_000):
+                k = some[i : i + 10_000]
+                v = np.zeros((len(k), DIM + 1))
+                v[:, : net.p[name].shape[1]] = net.p[name][k] * met[k, None]
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(k), kind, np.int32)), "row": pa.array(k.astype(np.int32)), "n": pa.array(met[k])} | {f"v{j}": pa.array(v[:, j]) for j in range(DIM + 1)})
+
+    columns = ["n", *(f"v{j}" for j in range(DIM + 1))]
+    each = documents.select("doc_id", "text").coalesce(tasks).mapInArrow(run, "kind int, row int, " + ", ".join(f"{c} double" for c in columns))
+    # At most two rows for each word with vectors, and those of classes, reach the driver.
+    got = each.groupBy("kind", "row").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+    kind, row, n = (got.column(c).to_numpy() for c in ("kind", "row", "n"))
+    v = np.stack([got.column(f"v{j}").to_numpy() for j in range(DIM + 1)], 1) / n[:, None]
+    for i, name in enumerate(model.net.NAMES):
+        p, mine = model.net.p[name], kind == i
+        p[row[mine]] = v[mine, : p.shape[1]]
 
 
 def train(documents: DataFrame) -> tuple[Model, DataFrame]:
@@ -247,17 +377,23 @@ def train(documents: DataFrame) -> tuple[Model, DataFrame]:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), count(1).alias("once"), count(2).alias("twice")).first()
     top = counts.where("c > 1").orderBy(F.desc("c"), "h").limit(KNOWN).toArrow()
     lexicon = Lexicon(top.column("h").to_numpy(), top.column("c").to_numpy(), total.n, total.v, total.once, total.twice)
-    classes = LogBilinear(CLASSES, 1)
-    classes.fit(*class_counts(documents, lexicon))
-    return Model(lexicon, classes), counts
+    model = Model(lexicon, LogBilinear(lexicon))
+    if len(lexicon.keys):
+        first = documents.select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(FIRST_DOCS).toArrow()
+        net, g, state = model.net, np.random.default_rng(5), model.net.fresh()
+        for b in first.to_batches(max_chunksize=256):
+            net.fit(*model.reader.ranks(training_texts(b)), state, g)
+        averaged(documents, model)
+    return model, counts
 
 
 def lm_scores(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """Base and model scores of every whole text.
 
     Null and empty texts are an end alone; repeated rows get a row each; a null doc_id belongs
-    to fold 0; columns other than doc_id and text are not read. Without training documents all
-    words are unknown and the untrained model's scores are returned."""
+    to fold 0; an empty table gives no rows; very long texts are scored whole, STEP tokens at
+    once; columns other than doc_id and text are not read. Without training documents all
+    words are unknown and the score is 0, as the unknown word is the only outcome."""
     spark = documents.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -268,21 +404,9 @@ def lm_scores(documents: DataFrame, model: Model, counts: DataFrame) -> DataFram
         uid = TaskContext.get().partitionId() << 36
         for b in batches:
             ids = b.column(0).to_pylist()
-            rows = shared.value.rows(texts_of(b))
-            col = lambda k, t: pa.array([r[k] for r in rows], t)  # noqa: E731, B023
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "uid": pa.array(np.arange(uid, uid + len(ids))),
-                    "doc_id": b.column(0).cast(pa.int64()),
-                    "held_out": pa.array(crc_fold(ids, PARTS) == HELD),
-                    "n_tokens": col(0, pa.int64()),
-                    "known": col(1, pa.int64()),
-                    "base": col(2, pa.float64()),
-                    "score": col(3, pa.float64()),
-                    "rare": col(4, pa.list_(pa.int64())),
-                    "times": col(5, pa.list_(pa.int32())),
-                }
-            )
+            cols = {"uid": pa.array(np.arange(uid, uid + len(ids))), "doc_id": b.column(0).cast(pa.int64()), "held_out": pa.array(crc_fold(ids, PARTS) == HELD)}
+            if ids:
+                yield pa.RecordBatch.from_pydict(cols | shared.value.rows(texts_of(b)))
             uid += len(ids)
 
     rows = checkpointed(documents.select("doc_id", "text").mapInArrow(run, SCHEMA))

@@ -27,7 +27,7 @@ COSINE = 0.98
 RADIUS = float(np.sqrt(2 - 2 * COSINE)) + 1e-9
 SAMPLE, LISTS, PARTS, CODES, STEPS = 20_000, 4096, 8, 64, 8
 TILE = 256
-FINE = "vec_id long, label int, dim int, copies long, embedding array<double>, cell int, code binary, err double, asks boolean"
+FINE = "vec_id long, label string, dim int, copies long, embedding array<double>, cell int, code binary, err double, asks boolean"
 
 
 def kmeans(x: np.ndarray, k: int, steps: int = STEPS, seed: int = 1) -> np.ndarray:
@@ -114,11 +114,12 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and those
-    without a label, are linked with nothing; so are vectors of different lengths with each
+    without a label (of any simple type; labels are compared as text), are linked with nothing; so are vectors of different lengths with each
     other. Repeated rows count as separate vectors of one class. A null vec_id has no
-    component and is kept. Columns other than vec_id, embedding and label are not read."""
+    component and is kept. An empty table gives no rows. Columns other than vec_id, embedding
+    and label are not read."""
     spark = embeddings.sparkSession
-    every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("int").alias("label"))
+    every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     sound = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     sound &= F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     keyed = every.withColumn("h1", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("embedding"))).withColumn("h2", F.when(F.col("h1").isNotNull(), F.xxhash64(F.lit(77), "embedding")))

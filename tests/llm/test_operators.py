@@ -244,6 +244,14 @@ def test_vectors_against_brute_force(spark, many):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (n[i], top(i), top(i) == i), i
 
 
+def test_odd_vectors(spark):
+    """Labels that are words, null and repeated ids, and extra columns whose names clash with inner ones."""
+    rows = [(1, [1.0, 0.0], "a b", 1, 2), (1, [1.0, 0.0], "a b", 1, 2), (2, [1.0, 0.01], "a b", 1, 2), (3, [1.0, 0.0], "c", 1, 2), (None, [1.0, 0.0], "a b", 1, 2), (4, [1.0, 0.0], None, 1, 2)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string, h1 int, cell int")
+    out = sorted(((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in vector_dedup.near_vectors(d).collect()))
+    assert out == [(-1, 0, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+
+
 def test_no_vectors(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -444,10 +452,47 @@ def test_lm_scores(spark, documents, odd):
     out = lm_score.lm_scores(d, model, counts).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in out) == want
     assert all(r.score < 0 for r in out)
-    table = 10.0 ** model.classes.table().astype(float)
-    assert np.allclose(table.sum(1), 1, atol=1e-4)
-    lex = model.lexicon
-    assert abs(lex.unknown + sum((x - lex.discount) / lex.rare_tokens for w, x in c.items() if x == 1) - 1) < 1e-6 or (lex.counts == 1).any()
+    # The score against sums written out: softmax over classes, over a class's words, and shares of the rare class.
+    lex, net = model.lexicon, model.net
+    hashes = {lm_score._key(w or ""): w for w in c}
+    rank = {hashes[k]: int(r) for k, r in zip(lex.keys.tolist(), lex.rank, strict=True) if r >= 0}
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    dim = lm_score.DIM
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    def outcomes(before, last):
+        """Probabilities of all training words and the unknown one."""
+        code = lambda w: net.n + 1 if w == "start" else rank.get(w[0], net.n)
+        h = np.concatenate([p["r"][code(before)], p["r"][code(last)]]) @ p["c"]
+        cls = softmax(p["u"][:, :dim] @ h + p["u"][:, dim])
+        word = p["q"][:, :dim] @ h + p["q"][:, dim]
+        within = np.concatenate([softmax(word[lex.cls == k]) for k in range(net.k - 1)])
+        by = np.concatenate([np.flatnonzero(lex.cls == k) for k in range(net.k - 1)])
+        given = dict(zip(by.tolist(), within * cls[lex.cls[by]], strict=True))
+        rare = {w: cls[-1] * (x - lex.discount) / lex.rare_tokens for w, x in c.items() if w not in rank}
+        return {w: given[r] for w, r in rank.items()} | rare, cls[-1] * lex.unknown
+
+    got = {r.doc_id: r.score for r in out}
+    some = [r for r in rows if r.doc_id is not None and len(tokens(r.text)) < 60][:6] + [r for r in rows if r.doc_id == 9]
+    assert len(some) > 3
+    for r in some:
+        k, total = tokens(r.text), 0.0
+        for i, w in enumerate(k):
+            of, unknown = outcomes((k[i - 2],) if i > 1 else "start", (k[i - 1],) if i else "start")
+            assert abs(sum(of.values()) + unknown - 1) < 1e-6
+            total += math.log10(of.get(w, unknown))
+        if sum(x.doc_id == r.doc_id for x in rows) == 1:
+            assert abs(total - got[r.doc_id]) < 1e-3 * max(1, abs(total))
+
+
+def test_lm_learns_word_order(spark):
+    """A word that always follows another is likelier there than its count alone says."""
+    g = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(f"{a} after{a}" for a in g.choice(words, 60))) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    held = [r for r in lm_score.lm_scores(d, *lm_score.train(d)).collect() if r.held_out]
+    assert sum(r.score for r in held) > 0.75 * sum(r.base_score for r in held)
 
 
 # ------------------------------------------------ 9 quality net
