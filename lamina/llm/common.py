@@ -48,6 +48,23 @@ def fold(doc_id, parts: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts, F.lit(0))
 
 
+def smallest(df: DataFrame, by: str, n: int, key: str = "h") -> DataFrame:
+    """The rows of the n smallest keys of each value of by; keys are 63-bit hashes, not negative.
+
+    First a histogram of the keys' leading 20 bits, a bounded number of rows, tells how far to read, so that
+    tasks pass on few rows beyond those asked for, however many tasks there are."""
+    part = F.shiftright(key, 43)
+    held: dict = {}
+    for r in sorted(df.groupBy(by, part.alias("p")).agg(F.count("*").alias("n")).collect()):
+        at = held.setdefault(r[0], [r.p, 0])
+        if at[1] < n:
+            held[r[0]] = [r.p, at[1] + r.n]
+    some = df.where(F.lit(False))
+    for value, (cut, _) in sorted(held.items()):
+        some = some.unionAll(df.where((F.col(by) == value) & (part <= cut)).orderBy(*dict.fromkeys([key, *df.columns])).limit(n))
+    return some
+
+
 def labelled_sample(
     documents: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int = 200_000, parts: int = 3, held: int = 1
 ) -> list[tuple[int, str, int]]:
@@ -63,10 +80,9 @@ def labelled_sample(
         .where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (fold("_id", parts) != held))
         .groupBy("_id")
         .agg(F.max("_y").alias("_y"))
+        .withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.col("_id"), F.lit(17)), 1))
     )
-    order = F.xxhash64(F.col("_id"), F.lit(17))
-    both = [picked.where(F.col("_y") == y).orderBy(order, "_id").limit(per_class) for y in (0, 1)]
-    ids = F.broadcast(both[0].unionByName(both[1]))  # at most 2 * per_class rows
+    ids = F.broadcast(smallest(picked, "_y", per_class, "_h").select("_id", "_y"))  # at most 2 * per_class rows
     texts = documents.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_t"))
     rows = texts.join(ids, "_id").where(F.length("_t") <= max_chars).groupBy("_id", "_y").agg(F.min("_t").alias("_t"))
     return sorted((r._id, r._t, r._y) for r in rows.collect())

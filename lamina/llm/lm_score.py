@@ -379,7 +379,8 @@ def train(documents: DataFrame) -> tuple[Model, DataFrame]:
     lexicon = Lexicon(top.column("h").to_numpy(), top.column("c").to_numpy(), total.n, total.v, total.once, total.twice)
     model = Model(lexicon, LogBilinear(lexicon))
     if len(lexicon.keys):
-        first = documents.select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(FIRST_DOCS).toArrow()
+        picked = documents.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(FIRST_DOCS).distinct()
+        first = documents.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").toArrow()  # at most FIRST_DOCS rows
         net, g, state = model.net, np.random.default_rng(5), model.net.fresh()
         for b in first.to_batches(max_chunksize=256):
             net.fit(*model.reader.ranks(training_texts(b)), state, g)

@@ -163,7 +163,7 @@ def id_filter(ids: DataFrame, n: int):
     """A Bloom filter of n ids, of at most FILTER_MOST bits; beyond, it lets more through and the join after it decides."""
     bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_BITS * n - 1).bit_length()))
     place = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(bits))
-    at = ids.select(F.explode(F.array(place(1), place(2))).alias("at"))
+    at = ids.select(place(1).alias("at")).unionAll(ids.select(place(2)))
     words = at.groupBy(F.shiftright("at", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(at, 32) as int)))").alias("v")).toArrow()
     table = np.zeros(bits // 32, np.uint32)
     table[words.column("w").to_numpy()] = words.column("v").to_numpy().astype(np.uint32)
@@ -187,7 +187,7 @@ def sets_of(ids: DataFrame, n: int, documents: DataFrame) -> DataFrame:
 
     place = lambda seed: F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(bits))
     read = documents.where("doc_id is not null").select(F.col("doc_id"), "text", place(1).alias("p"), place(2).alias("q"))
-    sets = checkpointed(arrow_pass(read, ["doc_id", "text", "p", "q"], run, "id long, s array<long>").join(ids.distinct().hint("merge"), "id", "left_semi"))
+    sets = checkpointed(arrow_pass(read, ["doc_id", "text", "p", "q"], run, "id long, s array<long>").join(ids.hint("merge"), "id", "left_semi"))
     shared.destroy()  # the sets lie in the shared folder: no task will ask for it again
     return sets
 
@@ -313,6 +313,7 @@ def linked(members: DataFrame, reps: DataFrame, documents: DataFrame) -> DataFra
         tiles = checkpointed(tiled(named, whole, reps)) if last and left else None
         if tiles is not None:
             ids = ids.unionAll(tiles.select("id"))
+        ids = checkpointed(ids.distinct())
         if n := ids.count():
             sets = sets_of(ids, n, documents)
             links = confirmed(some, sets)

@@ -3,11 +3,12 @@
 Terms are words and the beginnings of words, so that inflected forms meet. The vector
 space holds every term of the labelled texts; inverse document frequencies, counted over
 all documents, are multiplied by a smooth weight of how unevenly the classes use the term,
-so that terms of both classes count little and none is left out. Examples
-lie in blocks; a term's largest weight in each block bounds what it can add to any example
-there. Terms are added up from the largest bound down, until only few examples can still
-enter the k best, and these are computed in full. Similarity-weighted votes of the k best
-are calibrated to probabilities.
+so that terms of both classes count little and none is left out. Examples lie in blocks.
+The postings of rarer terms are added up first and give the k-th best a floor; a common
+term's largest weight in each block bounds what it can add there, so that one matrix
+product of queries and block maxima tells which blocks can still reach the floor, and only
+these are multiplied out. What comes within rounding of the k best is computed again in
+double precision. Similarity-weighted votes of the k best are calibrated to probabilities.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,18 +30,18 @@ from .common import arrow_pass, crc_fold, labelled_sample, platt, sigmoid, small
 FIT_ROWS = 3000
 #: Log-likelihood ratio at which a term's weight is a quarter of its full weight.
 HALF = 10.0
-#: Neighbours, examples of a block, terms added at first, and examples few enough to be computed in full.
-K, BLOCK, FIRST, FEW = 15, 64, 128, 96
+#: Neighbours, examples of a block, terms that count as common, texts searched at once, and how far single precision may be off.
+K, BLOCK, COMMON, TOGETHER, SLACK = 15, 64, 1024, 32, 1e-4
 TOXIC_FROM = 0.7
-#: Results kept for repeated vectors; beyond, the memory starts anew.
-MEMORY = 200_000
+#: Words, and results of repeated vectors, that a worker keeps; beyond, the memory starts anew.
+MEMORY = 100_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_terms int, neighbours array<long>, cosines array<double>"
 #: A-Z become lower case; ASCII characters that are neither letters nor digits separate terms.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
-#: Lengths, in bytes, of the beginnings of words that are terms too.
-PREFIXES = (4, 5, 6)
+#: Lengths, in bytes, of the beginnings of words that are terms too; of (4,), (5,) and (4, 5, 6) the one of the best recall, leaving each training row out.
+PREFIXES = (5,)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -47,7 +50,7 @@ def words_of(text: str) -> list[bytes]:
 
 def terms_of(word: bytes) -> list[bytes]:
     """The word, and its marked beginnings."""
-    return [word, *(b"^" + word[:n] for n in PREFIXES if len(word) >= n)]
+    return [word, *[b"^" + word[:n] for n in PREFIXES if len(word) >= n]]
 
 
 class Space(dict):
@@ -58,16 +61,33 @@ class Space(dict):
         self.place = {t: i for i, t in enumerate(terms)}
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        got = tuple(self.place[t] for t in terms_of(word) if t in self.place)
+        get = self.place.get
+        got = tuple([i for t in terms_of(word) if (i := get(t)) is not None])
         if len(self) >= MEMORY:
             self.clear()
         self[word] = got
         return got
 
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the text's terms, ascending, and how often each occurs."""
-        found = [i for at in map(self.__getitem__, words_of(text)) for i in at]
-        return np.unique(np.array(found, np.int64), return_counts=True)
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, term and count of every term of the space in each text, by text and term."""
+        folded = pa.array([t.encode().translate(_FOLD) for t in texts], pa.large_binary()).cast(pa.large_string())
+        split = pc.ascii_split_whitespace(folded)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        got = [*map(self.__getitem__, words)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        flat, start = np.fromiter(chain.from_iterable(got), np.int64, size.sum()), np.cumsum(size) - size
+        text = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+        pair, times = np.unique(text * max(len(got), 1) + coded.indices.to_numpy(), return_counts=True)
+        word = pair % max(len(got), 1)
+        at = _spans(start[word], start[word] + size[word])
+        n = len(self.place) or 1
+        code = np.repeat(pair // max(len(got), 1), size[word]) * n + flat[at]
+        order = np.argsort(code)
+        code, times = code[order], np.repeat(times, size[word])[order]
+        begin = np.flatnonzero(np.diff(code, prepend=-1))
+        times = np.add.reduceat(times, begin) if len(begin) else times
+        return code[begin] // n, code[begin] % n, times
 
     def __reduce__(self):
         return Space, ([*self.place],)
@@ -98,17 +118,20 @@ def weighted_terms(sample: list[tuple[int, str, int]]) -> tuple[list[bytes], np.
 def document_frequencies(documents: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
     """Number of documents, and of those that hold each term; counted over all documents, one row for each term and task."""
     small_batches(documents.sparkSession)
+    size = len(terms)
     shared = documents.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(terms), 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, found, n = Space(pickle.loads(zlib.decompress(shared.value))), Counter(), 0
+        space, found, n = Space(pickle.loads(zlib.decompress(shared.value))), np.zeros(size + 1, np.int64), 0
         for b in batches:
-            for text in texts_of(b):
-                found.update({i for at in map(space.__getitem__, set(words_of(text))) for i in at})
-                n += 1
-        rows = [(-1, n), *found.items()]
-        for i in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_pydict({"term": pa.array([r[0] for r in rows[i : i + 10_000]], pa.int64()), "n": pa.array([r[1] for r in rows[i : i + 10_000]], pa.int64())})
+            texts = texts_of(b)
+            found[:size] += np.bincount(space.counts(texts)[1], minlength=size)
+            n += len(texts)
+        found[size] = n
+        some = np.flatnonzero(found)
+        for i in range(0, len(some), 10_000):
+            k = some[i : i + 10_000]
+            yield pa.RecordBatch.from_pydict({"term": pa.array(k), "n": pa.array(found[k])})
 
     df = np.zeros(len(terms) + 1, np.int64)
     got = documents.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term, and one
@@ -123,45 +146,45 @@ def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Labelled examples as unit TF-IDF vectors, their postings in blocks of BLOCK examples."""
+    """Labelled examples as unit TF-IDF vectors, in blocks of BLOCK examples."""
 
     def __init__(self, terms: list[bytes], idf: np.ndarray, ids: list[int], labels: list[int], texts: list[str]):
         self.space = Space(terms)
         self.idf = idf
-        counts = [self.space.counts(t) for t in texts]
-        self.void = [y for (at, _), y in zip(counts, labels, strict=True) if not len(at)]
-        full = [i for i, (at, _) in enumerate(counts) if len(at)]
-        self.ids = np.array([ids[i] for i in full], np.int64)
-        self.labels = np.array([labels[i] for i in full], np.int64)
+        text, self.term, self.tf = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        for i in range(0, len(texts), 256):
+            t, term, tf = self.space.counts(texts[i : i + 256])
+            text, self.term, self.tf = np.append(text, t + i), np.append(self.term, term.astype(np.int32)), np.append(self.tf, tf.astype(np.int32))
+        n = np.bincount(text, minlength=len(texts))
+        full = np.flatnonzero(n)
+        self.void = [y for y, k in zip(labels, n.tolist(), strict=True) if not k]
+        self.ids = np.array(ids, np.int64)[full]
+        self.labels = np.array(labels, np.int64)[full]
         self.base = (sum(self.void) + 0.5) / (len(self.void) + 1.0)
-        self.from_ = np.cumsum([0, *(len(counts[i][0]) for i in full)])
-        self.term = np.concatenate([np.zeros(0, np.int32), *(counts[i][0].astype(np.int32) for i in full)])
-        self.tf = np.concatenate([np.ones(0, np.int32), *(counts[i][1].astype(np.int32) for i in full)])
+        self.from_ = np.concatenate([[0], np.cumsum(n[full])])
         self._build()
 
     def _build(self) -> None:
-        """The examples' vectors, one after the other, and the same by term."""
+        """The examples' vectors one after the other; postings of rarer terms; weights of common ones in full, with their largest in each block."""
         n, terms = len(self.ids), len(self.idf)
         example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.from_))
         self.value = (1 + np.log(self.tf)) * self.idf[self.term]
         if n:
             self.value /= np.sqrt(np.add.reduceat(self.value * self.value, self.from_[:-1]))[example]
-        order = np.argsort(self.term, kind="stable")
-        by_term = self.term[order]
-        self.example, self.weight = example[order], self.value[order]
-        self.start = np.searchsorted(by_term, np.arange(terms + 1))
-        #: Runs of one term in one block: where each begins, its block and largest weight; by term from self.run on.
+        held = np.bincount(self.term, minlength=terms)
+        often = np.argsort(-held, kind="stable")[:COMMON]
+        self.row = np.full(terms, -1, np.int32)
+        self.row[often] = np.arange(len(often))
         self.blocks = -(-n // BLOCK)
-        code = by_term.astype(np.int64) * max(self.blocks, 1) + self.example // BLOCK
-        begin = np.flatnonzero(np.diff(code, prepend=-1))
-        self.block = (self.example[begin] // BLOCK).astype(np.int32)
-        self.largest = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
-        self.run = np.searchsorted(by_term[begin], np.arange(terms + 1))
-        #: The largest weight of each term, and the query that is being computed.
-        self.most, self.query = np.zeros(terms), np.zeros(terms)
-        some = np.flatnonzero(np.diff(self.run))
-        if len(some):
-            self.most[some] = np.maximum.reduceat(self.largest, self.run[some])
+        self.common = np.zeros((len(often), self.blocks * BLOCK), np.float32)
+        at = self.row[self.term]
+        self.common[at[at >= 0], example[at >= 0]] = self.value[at >= 0]
+        self.largest = self.common.reshape(len(often), self.blocks, BLOCK).max(2, initial=0)
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(self.term[rare], kind="stable")]
+        self.start = np.searchsorted(self.term[rare], np.arange(terms + 1))
+        self.example, self.weight = example[rare], self.value[rare].astype(np.float32)
+        self.query = np.zeros(terms)  # of the text that is being computed
 
     def __getstate__(self):
         """Counts alone, packed: workers build the rest."""
@@ -173,46 +196,62 @@ class Index:
         self.space = Space(self.__dict__.pop("terms"))
         self._build()
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of the space in the text and their weights, of length one together."""
-        at, tf = self.space.counts(text)
-        w = (1 + np.log(tf)) * self.idf[at] if len(at) else np.zeros(0)
-        return at, w / np.sqrt((w * w).sum()) if len(at) else w
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a positive cosine, ties by place; but: a place to leave out."""
-        none = np.zeros(0, np.int64), np.zeros(0)
-        n = len(self.ids)
-        if not n or not len(at):
-            return none
-        order = np.argsort(-w * self.most[at], kind="stable")
-        t, q = at[order], w[order]
-        # What the terms not yet added can still add in each block.
-        left = np.bincount(self.block[(r := _spans(self.run[t], self.run[t + 1]))], np.repeat(q, self.run[t + 1] - self.run[t]) * self.largest[r], self.blocks)
-        acc, done, step = np.zeros(n), 0, FIRST
-        while done < len(t):
-            some, x = t[done : done + step], q[done : done + step]
-            p = _spans(self.start[some], self.start[some + 1])
-            acc += np.bincount(self.example[p], np.repeat(x, self.start[some + 1] - self.start[some]) * self.weight[p], n)
-            r = _spans(self.run[some], self.run[some + 1])
-            left -= np.bincount(self.block[r], np.repeat(x, self.run[some + 1] - self.run[some]) * self.largest[r], self.blocks)
-            if but >= 0:
-                acc[but] = -2.0
-            done, step = done + step, step * 2
-            floor = np.partition(acc, n - k)[n - k] if n > k else -1.0
-            e = np.flatnonzero(acc + np.repeat(left, BLOCK)[:n] >= floor - 1e-9) if done < len(t) else np.flatnonzero(acc >= floor - 1e-9)
-            if len(e) <= FEW:
-                break
-        e = e[e != but]
-        if not len(e):
-            return none
-        self.query[at] = w
-        p = _spans(self.from_[e], self.from_[e + 1])
-        s = np.add.reduceat(self.query[self.term[p]] * self.value[p], np.cumsum([0, *np.diff(self.from_)[e][:-1]]))
-        self.query[at] = 0
-        e, s = e[s > 0], s[s > 0]
-        keep = np.lexsort((e, -np.round(s, 12)))[:k]
-        return e[keep], s[keep]
+    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Terms of the space in each text and their weights, of length one together."""
+        text, at, tf = self.space.counts(texts)
+        w = (1 + np.log(tf)) * self.idf[at]
+        w /= np.sqrt(np.maximum(np.bincount(text, w * w, len(texts)), 1e-300))[text]
+        cut = np.searchsorted(text, np.arange(len(texts) + 1))
+        return [(at[a:b], w[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the places and cosines of the k nearest examples with a positive cosine, ties by place; but: for each a place to leave out, or -1."""
+        out = []
+        for i in range(0, len(vectors), TOGETHER):
+            out += self._nearest(vectors[i : i + TOGETHER], k, but[i : i + TOGETHER] if but else [-1] * TOGETHER)
+        return out
+
+    def _nearest(self, vectors, k, but) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, width, texts = len(self.ids), self.blocks * BLOCK, len(vectors)
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * texts
+        at, w = (np.concatenate(x) for x in zip(*vectors, strict=True))
+        text = np.repeat(np.arange(texts), [len(v[0]) for v in vectors])
+        size = self.start[at + 1] - self.start[at]
+        p = _spans(self.start[at], self.start[at + 1])
+        acc = np.bincount(np.repeat(text * width, size) + self.example[p], np.repeat(w.astype(np.float32), size) * self.weight[p], texts * width)
+        acc = acc.astype(np.float32).reshape(texts, width)
+        query = np.zeros((texts, len(self.common)), np.float32)
+        row = self.row[at]
+        query[text[row >= 0], row[row >= 0]] = w[row >= 0]
+        # A block is multiplied out where its best so far and all that common terms can add reach the k-th best so far.
+        for t, place in enumerate(but[:texts]):
+            if place >= 0:
+                acc[t, place] = -2
+        acc[:, n:] = -2
+        floor = np.partition(acc, width - k, 1)[:, width - k] if n > k else np.full(texts, -1, np.float32)
+        bound = acc.reshape(texts, self.blocks, BLOCK).max(2) + query @ self.largest
+        need = bound >= floor[:, None] - SLACK
+        for j in np.flatnonzero(need.any(0)).tolist():
+            some = np.flatnonzero(need[:, j])
+            acc[some, j * BLOCK : (j + 1) * BLOCK] += query[some] @ self.common[:, j * BLOCK : (j + 1) * BLOCK]
+        acc.reshape(texts, self.blocks, BLOCK)[~need] = -2
+        floor = np.partition(acc, width - k, 1)[:, width - k] if n > k else floor
+        out = []
+        for t, (terms, weights) in enumerate(vectors):
+            e = np.flatnonzero(acc[t] >= max(floor[t] - SLACK, 0)) if len(terms) else np.zeros(0, np.int64)
+            e = e[(e < n) & (e != but[t])]
+            if not len(e):
+                out.append((np.zeros(0, np.int64), np.zeros(0)))
+                continue
+            self.query[terms] = weights
+            p = _spans(self.from_[e], self.from_[e + 1])
+            s = np.add.reduceat(self.query[self.term[p]] * self.value[p], np.cumsum([0, *np.diff(self.from_)[e][:-1]]))
+            self.query[terms] = 0
+            e, s = e[s > 0], s[s > 0]
+            keep = np.lexsort((e, -np.round(s, 12)))[:k]
+            out.append((e[keep], s[keep]))
+        return out
 
     def vote(self, e: np.ndarray, s: np.ndarray) -> float:
         """Share of toxic among the neighbours, nearer ones heavier, with one far vote at the share of texts without terms."""
@@ -228,16 +267,18 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"seen": {}}
 
-    def one(self, text: str) -> tuple[float, int, list[int], list[float]]:
-        at, w = self.index.vector(text)
-        key = at.tobytes() + w.tobytes()
-        if (got := self.seen.get(key)) is None:
-            e, s = self.index.nearest(at, w, K) if len(at) else (np.zeros(0, np.int64), np.zeros(0))
+    def rows(self, texts: list[str]) -> list[tuple[float, int, list[int], list[float]]]:
+        """Score, number of terms, neighbours and their cosines of each text; equal vectors are searched once."""
+        vectors = self.index.vectors(texts)
+        keys = [at.tobytes() + w.tobytes() for at, w in vectors]
+        new = {key: v for key, v in zip(keys, vectors, strict=True) if key not in self.seen}
+        if len(self.seen) + len(new) > MEMORY:
+            self.seen.clear()
+            new = dict(zip(keys, vectors, strict=True))
+        for (key, (at, _)), (e, s) in zip(new.items(), self.index.nearest([*new.values()], K), strict=True):
             p = float(sigmoid(np.array(self.slope * _logit(self.index.vote(e, s)) + self.shift)))
-            if len(self.seen) >= MEMORY:
-                self.seen.clear()
-            got = self.seen[key] = (p, len(at), self.index.ids[e].tolist(), s.tolist())
-        return got
+            self.seen[key] = (p, len(at), self.index.ids[e].tolist(), s.tolist())
+        return [self.seen[key] for key in keys]
 
 
 def _logit(p: float) -> float:
@@ -251,16 +292,10 @@ def train(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     terms, telling = weighted_terms(sample)
     n, df = document_frequencies(documents, terms)
     index = Index(terms, (np.log((1 + n) / (1 + df)) + 1) * telling, [r[0] for r in sample], [r[2] for r in sample], [r[1] for r in sample])
-    raw, y, place = [], [], 0
-    for _, text, label in sample:
-        at, w = index.vector(text)
-        if len(at):
-            e, s = index.nearest(at, w, K, but=place)
-            place += 1
-        else:
-            e, s = np.zeros(0, np.int64), np.zeros(0)
-        raw.append(_logit(index.vote(e, s)))
-        y.append(label)
+    vectors = [v for i in range(0, len(sample), 256) for v in index.vectors([r[1] for r in sample[i : i + 256]])]
+    place = np.cumsum([len(at) > 0 for at, _ in vectors]) - 1
+    found = index.nearest(vectors, K, [int(p) if len(at) else -1 for p, (at, _) in zip(place, vectors, strict=True)])
+    raw, y = [_logit(index.vote(e, s)) for e, s in found], [r[2] for r in sample]
     slope, shift = platt(np.array(raw), np.array(y)) if raw else (0.0, -4.0)
     return Model(index, max(slope, 0.0), shift)
 
@@ -269,13 +304,13 @@ def toxicity(documents: DataFrame, model: Model) -> DataFrame:
     """Score, verdict and evidence (nearest examples and their cosines) of every whole text.
 
     Null and empty texts, like all texts without a term of the space, have no neighbours and
-    get the calibrated share of such examples; repeated rows get a row each; columns other
-    than doc_id and text are not read. Without labelled rows of both classes the score is the
+    get the calibrated share of such examples; repeated rows get a row each; very long texts
+    are read whole; an empty table gives no rows; columns other than doc_id and text are not read. Without labelled rows of both classes the score is the
     constant share."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [shared.value.one(t) for t in texts_of(batch)]
+        rows = shared.value.rows(texts_of(batch))
         ids = batch.column(0)
         score = np.array([r[0] for r in rows])
         return pa.RecordBatch.from_pydict(

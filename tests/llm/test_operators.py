@@ -60,22 +60,24 @@ def test_chain_of_components(spark):
 # ------------------------------------------------ 1 toxicity
 
 
-def test_toxicity_nearest_is_exact():
+@pytest.mark.parametrize("common", [0, 7, 1024])
+def test_toxicity_nearest_is_exact(monkeypatch, common):
+    monkeypatch.setattr(toxicity, "COMMON", common)
     g = np.random.default_rng(0)
     terms = [f"t{i}".encode() for i in range(30)]
     texts = [" ".join(f"t{i}" for i in g.integers(0, 30, g.integers(1, 8))) for _ in range(300)]
     index = toxicity.Index(terms, np.linspace(1, 3, 30), list(range(300)), [0, 1] * 150, texts)
     dense = np.zeros((300, 30))
     for i, t in enumerate(texts):
-        at, w = index.vector(t)
+        at, w = index.vectors([t])[0]
         dense[i, at] = w
-    for t in texts[:60]:
-        at, w = index.vector(t)
+    found = index.nearest(index.vectors(texts[:60]), toxicity.K)
+    for t, (e, s) in zip(texts[:60], found, strict=True):
+        at, w = index.vectors([t])[0]
         q = np.zeros(30)
         q[at] = w
         all_ = dense @ q
         want = sorted(((-round(s, 9), i) for i, s in enumerate(all_) if s > 1e-12))[: toxicity.K]
-        e, s = index.nearest(at, w, toxicity.K)
         assert np.allclose(s, [-x for x, _ in want], atol=1e-8)
 
 
@@ -90,6 +92,37 @@ def test_toxicity_held_out(spark):
         assert r.predicted == int(r.doc_id % 4 == 0) == int(r.score >= 0.7)
 
 
+def test_toxicity_query_by_hand(spark, documents, labels):
+    """Every column of the whole query against cosines over all examples, dense and in double precision."""
+    d = documents.select("doc_id", "text")
+    model = toxicity.train(d, labels)
+    ix, sample = model.index, toxicity.labelled_sample(d, labels, "toxic", toxicity.FIT_ROWS)
+    places = {t: i for i, t in enumerate(ix.space.place)}
+
+    def vector(text):
+        low = "".join(c.lower() if c.isascii() else c for c in text)
+        words = re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]", " ", low).encode().split()
+        v = np.zeros(len(places))
+        for t, n in Counter(t for w in words for t in (w, *(b"^" + w[:n] for n in toxicity.PREFIXES if len(w) >= n))).items():
+            if t in places:
+                v[places[t]] = (1 + math.log(n)) * ix.idf[places[t]]
+        return v / np.linalg.norm(v) if v.any() else v
+
+    matrix = np.stack([v for r in sample if (v := vector(r[1])).any()])
+    out = {r.doc_id: r for r in toxicity.toxicity(d, model).collect()}
+    for r in documents.limit(60).collect():
+        cosine = matrix @ vector(r.text or "")
+        best = sorted((-round(s, 9), i) for i, s in enumerate(cosine) if s > 1e-12)[: toxicity.K]
+        got = out[r.doc_id]
+        assert np.allclose(got.cosines, [-s for s, _ in best], atol=1e-7)
+        weights = [1 / (1.02 - min(s, 1.0)) for s in got.cosines]
+        near = dict(zip(ix.ids.tolist(), ix.labels.tolist(), strict=True))
+        vote = (sum(w * near[i] for w, i in zip(weights, got.neighbours, strict=True)) + ix.base) / (sum(weights) + 1)
+        vote = min(max(vote, 1e-4), 1 - 1e-4)
+        assert abs(got.score - 1 / (1 + math.exp(-(model.slope * math.log(vote / (1 - vote)) + model.shift)))) < 1e-6
+        assert got.predicted == int(got.score >= 0.7) and got.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
 def test_toxicity_learns_rare_words(spark):
     """Thirty words of about five examples each, none of which a test at the usual levels would tell from chance."""
     g = np.random.default_rng(4)
