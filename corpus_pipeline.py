@@ -6,14 +6,13 @@ returns the columns of documents; the last returns the packed pieces.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import minhash, packing, quality_net, quality_rules, secret_scan
+from lamina.llm import common, minhash, packing, quality_net, quality_rules, secret_scan
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +55,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Between stages the rows lie in the cluster's shared checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-pipeline-")
+    folder = common.shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/pipeline-{uuid.uuid4().hex}/{i}-{name}"
