@@ -324,8 +324,8 @@ class Model:
         return {
             "n_tokens": pa.array(np.diff(ends, prepend=0)),
             "known": pa.array(np.bincount(owner[known], minlength=n)),
-            "base": pa.array(base),
-            "score": pa.array(score),
+            "base": pa.array(base, pa.float64()),
+            "score": pa.array(score, pa.float64()),
             "rare": pa.ListArray.from_arrays(offsets, pa.array(pair[new, 1])),
             "times": pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.append(new, len(pair))).astype(np.int32))),
         }
