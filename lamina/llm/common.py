@@ -3,6 +3,7 @@ samples of labelled rows, and Arrow passes over whole texts."""
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -35,6 +36,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver notice what no one refers to any more: only then does Spark delete shuffle files and old checkpoints."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only where it is unset and driver and executors are one process, as in tests, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)

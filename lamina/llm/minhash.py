@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, checkpointed, texts_of
+from .common import arrow_pass, checkpointed, let_go, texts_of
 from .components import components, forest
 
 WORDS, PERCENT = 5, 75
@@ -322,6 +322,9 @@ def linked(members: DataFrame, reps: DataFrame, documents: DataFrame) -> DataFra
             found = components(links).select(F.col("node").alias("c"), F.col("component").alias("to"))
             known = reps.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("c")) if label is None else label
             label = checkpointed(known.join(found.hint("merge"), "c", "left").select("id", F.coalesce("to", "c").alias("c")))
+            sets = links = found = known = None
+        named = whole = pairs = some = ids = tiles = None
+        let_go(documents.sparkSession)
         if last:
             break
     return label

@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_pass, crc_fold, labelled_sample, platt, sigmoid, small_batches, texts_of
 
-FIT_ROWS = 3000
+FIT_ROWS = 2000
 #: Log-likelihood ratio at which a term's weight is a quarter of its full weight.
 HALF = 10.0
 #: Neighbours, examples of a block, terms that count as common, texts searched at once, and how far single precision may be off.
-K, BLOCK, COMMON, TOGETHER, SLACK = 15, 64, 1024, 32, 1e-4
+K, BLOCK, COMMON, TOGETHER, SLACK = 15, 64, 512, 32, 1e-4
 TOXIC_FROM = 0.7
 #: Words, and results of repeated vectors, that a worker keeps; beyond, the memory starts anew.
 MEMORY = 100_000
