@@ -10,8 +10,16 @@ from ..functions import text as T
 # Names of source kinds, and of kinds that a search may ask for.
 FURNITURE = ("header", "footer", "page_number", "aside_text", "phonetic")
 ALIASES = {
-    "figure": ("image", "chart"), "figures": ("image", "chart"), "image": ("image",), "chart": ("chart",), "table": ("table",), "tables": ("table",),
-    "equation": ("equation",), "formula": ("equation",), "heading": ("heading",), "section": ("heading",), "code": ("code",), "list": ("list",), "paragraph": ("paragraph",), "text": ("paragraph",), "footnote": ("footnote",),
+    "figure": ("image", "chart"),
+    "image": ("image", "chart"),
+    "chart": ("chart",),
+    "table": ("table",),
+    "equation": ("equation",),
+    "formula": ("equation",),
+    "heading": ("heading",),
+    "code": ("code",),
+    "list": ("list",),
+    "paragraph": ("paragraph",),
 }
 # End of fixed values.
 ITEM_SCHEMA = (

@@ -1,5 +1,7 @@
 """Chunks: greedy packing of pieces to a target size, restarted at every section."""
 
+import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -45,58 +47,43 @@ def chunk_table(pieces: DataFrame, keys: list[str], order: str, lang: str | None
     return g.withColumn("seq", seq).withColumn("id", F.concat(dotted, F.lit("#"), F.format_string("%04d", "seq"))).withColumn("sha1", T.chunk_sha(F.col("text")))
 
 
-def markdown_blocks(documents: DataFrame) -> DataFrame:
-    """Line machine over Markdown: headings, paragraphs, tables, images, fenced code and displayed formulas with their lines."""
-
-    def scan(text: str) -> list[dict]:
-        import re
-
-        out, held, start, inside = [], [], 0, ""
-
-        def flush(kind: str, end: int) -> None:
-            if held:
-                rows = [x.strip() for x in held]
-                if kind == "text":
-                    kind_ = "table" if all(x.startswith("|") for x in rows) else "image" if all(re.fullmatch(r"!\[[^\]]*\]\([^)]*\)", x) for x in rows) else "text"
-                else:
-                    kind_ = kind
-                out.append({"kind": kind_, "level": 0, "text": "\n".join(held), "first": start, "last": end})
-                held.clear()
-
-        for n, line in enumerate((text or "").split("\n"), 1):
-            bare = line.strip()
-            if inside:
-                held.append(line)
-                if bare.startswith(inside):
-                    flush("math" if inside == "$$" else "code", n)
-                    inside = ""
-                continue
-            fence = re.match(r" {0,3}(`{3,}|~{3,})", line)
-            head = re.match(r" {0,3}(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$", line)
-            opens = fence[1][:3] if fence else "$$" if bare.startswith("$$") and not (len(bare) > 4 and bare.endswith("$$")) else ""
-            if opens:
-                flush("text", n - 1)
-                inside, start = opens, n
-                held.append(line)
-            elif head:
-                flush("text", n - 1)
-                out.append({"kind": "heading", "level": len(head[1]), "text": head[2], "first": n, "last": n})
-            elif not bare:
-                flush("text", n - 1)
-            elif bare.startswith("$$"):
-                flush("text", n - 1)
-                out.append({"kind": "math", "level": 0, "text": line, "first": n, "last": n})
-            else:
-                if not held:
-                    start = n
-                held.append(line)
-        flush("math" if inside == "$$" else "code" if inside else "text", n)
-        return out
+#: What may begin at the start of a line, tried in this order; code and formulas reach to the line that closes them, or to the end.
+_GRAMMAR = re.compile(
+    r"""
+    (?P<code>    ^[ ]{0,3}(?P<fence>`{3}|~{3})[^\n]*      (?:\n(?![^\S\n]*(?P=fence))[^\n]*)*  (?:\n[^\n]*)? )
+  | (?P<math>    ^[^\S\n]*\$\$[^\S\n]*$                 (?:\n(?![^\S\n]*\$\$)[^\n]*)*      (?:\n[^\n]*)? )
+  | (?P<heading> ^[ ]{0,3}(?P<level>\#{1,6})[ \t]+(?P<title>[^\n]+?)[ \t]*\#*[ \t]*$ )
+  | (?P<table>   ^[^\S\n]*\|[^\n]*$ )
+  | (?P<image>   ^[^\S\n]*!\[[^\]\n]*\]\([^)\n]*\)[^\S\n]*$ )
+  | (?P<text>    ^[^\n]*\S[^\n]*$ )
+    """,
+    re.M | re.X,
+)
+
+
+def blocks_in(text: str) -> list[dict]:
+    """Blocks of a Markdown text with their lines; adjacent lines of prose, table and image are one block, of their kind if all have the same."""
+    ends = [m.start() for m in re.finditer("\n", text or "")]
+    out: list[dict] = []
+    for m in _GRAMMAR.finditer(text or ""):
+        kind = next(k for k in ("code", "math", "heading", "table", "image", "text") if m[k] is not None)
+        first, last = 1 + bisect_left(ends, m.start()), 1 + bisect_left(ends, m.end())
+        if kind == "heading":
+            out.append({"kind": kind, "level": len(m["level"]), "text": m["title"], "first": first, "last": last})
+        elif kind in ("code", "math") or not out or out[-1]["last"] != first - 1 or out[-1]["kind"] not in ("table", "image", "text"):
+            out.append({"kind": kind, "level": 0, "text": m[0], "first": first, "last": last})
+        else:
+            before = out[-1]
+            out[-1] = before | {"kind": kind if kind == before["kind"] else "text", "text": f"{before['text']}\n{m[0]}", "last": last}
+    return out
+
 
+def markdown_blocks(documents: DataFrame) -> DataFrame:
+    """Headings, paragraphs, tables, images, fenced code and displayed formulas of Markdown texts, with their lines."""
     from ..functions.python import arrow_udf
 
     @arrow_udf("array<struct<kind:string,level:int,text:string,first:int,last:int>>")
     def blocks_of(x: pd.Series) -> pd.Series:
-        return x.map(scan)
+        return x.map(blocks_in)
 
     return documents.select("doc_id", F.posexplode(blocks_of(F.col("text"))).alias("block_no", "b")).select("doc_id", "block_no", "b.*")

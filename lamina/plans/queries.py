@@ -271,9 +271,9 @@ def json_fields(spark, sf_dir):
 
 # ---------------------------------------------------------------- outline
 
-@query(rf"WITH {BLOCKS_SQL} SELECT doc_id, block_no FROM blocks WHERE type = 'paragraph' AND block_no % 3 = 0 AND length(trim(text)) <= 84 AND NOT contains(text, '$') AND NOT regexp_matches(trim(text), '[.!?;:,]$') AND len(list_filter(string_split_regex('2.1 ' || trim(text), '\s+'), lambda w: w <> '')) <= 14 AND length('2.1 ' || trim(text)) <= 90")
+@query(rf"WITH {BLOCKS_SQL} SELECT doc_id, block_no FROM blocks WHERE type = 'paragraph' AND trim(text) <> '' AND NOT contains(text, '$') AND NOT regexp_matches(trim(text), '[.。!?！？;；:：,，]$') AND len(list_filter(string_split_regex('2.1 ' || trim(text), '\s+'), lambda w: w <> '')) <= 14 AND length('2.1 ' || trim(text)) <= 90")
 def missed_headings(spark, sf_dir):
-    b = _blocks(spark, sf_dir).where("type = 'paragraph' and block_no % 3 = 0 and length(trim(text)) <= 84").withColumn("t", F.concat(F.lit("2.1 "), F.trim("text")))
+    b = _blocks(spark, sf_dir).where("type = 'paragraph'").withColumn("t", F.concat(F.lit("2.1 "), F.trim("text")))
     return b.where(T.missed_heading(F.col("type"), F.col("t"))).select("doc_id", "block_no")
 
 
@@ -445,7 +445,7 @@ def locate_phrase(spark, sf_dir):
 
 @query(_located("user", "type = 'heading'"))
 def locate_type_alias(spark, sf_dir):
-    return lookup.locate(_previews(spark, sf_dir), "user", kind="section", limit=None).select("doc_id", "block_no", "type", "score")
+    return lookup.locate(_previews(spark, sf_dir), "user", kind="heading", limit=None).select("doc_id", "block_no", "type", "score")
 
 
 @query(_located("an the of") + " ORDER BY score DESC, doc_id, page, block_no LIMIT 20")

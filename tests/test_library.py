@@ -80,6 +80,8 @@ def test_table_spans():
     grid = P.table_grid("<table><tr><td rowspan=2>a</td><td colspan=2>b</td></tr><tr><td>c<br>d</td><td>e|f</td></tr><tr><td>g</td></tr></table>")
     assert grid == [["a", "b", "b"], ["a", "c d", "e|f"], ["g", "", ""]]
     assert P.table_grid("") == []
+    assert P.table_grid("<table><tr><td rowspan='3'>a</td><th>b &amp; <b>c</b></th></tr></table>") == [["a", "b & c"], ["a", ""], ["a", ""]]
+    assert P.table_grid("<tr><td>x<td rowspan=2>y<tr><td colspan=1>z<!-- <td>no -->") == [["x", "y"], ["z", "y"]]
 
 
 def test_snippets():
@@ -124,6 +126,25 @@ def test_markdown_blocks(spark):
     assert got == [("heading", 1, 1, 1), ("heading", 2, 3, 3), ("text", 0, 5, 5), ("code", 0, 7, 9), ("math", 0, 11, 13), ("heading", 2, 15, 15), ("table", 0, 17, 18)]
 
 
+def test_markdown_lines():
+    """The line rule written out: what opens, what closes, and that no line is lost."""
+    md = "a\n  ~~~ x\n\n# in\n~~~~\n| t |\n|-|\nb\n![i](u)\n\n![i](u)\n$$ x $$\n\n $$\ny\n$$ z\n### H ##\n```\nopen"
+    got = [(b["kind"], b["level"], b["first"], b["last"]) for b in chunks.blocks_in(md)]
+    assert got == [("text", 0, 1, 1), ("code", 0, 2, 5), ("text", 0, 6, 9), ("text", 0, 11, 12), ("math", 0, 14, 16), ("heading", 3, 17, 17), ("code", 0, 18, 19)]
+    lines = md.split("\n")
+    for b in chunks.blocks_in(md):
+        if b["kind"] != "heading":
+            assert b["text"] == "\n".join(lines[b["first"] - 1 : b["last"]])
+    assert chunks.blocks_in(None) == chunks.blocks_in("\n \n") == []
+
+
+def test_type_aliases(spark):
+    b = spark.createDataFrame([(1, 1, "image", "a cat"), (1, 2, "chart", "a cat"), (1, 3, "table", "a cat")], "doc_id int, block_no int, type string, text string")
+    assert blocks.ALIASES["image"] == ("image", "chart")
+    with pytest.raises(ValueError):
+        lookup.locate(b, "cat", kind="section")
+
+
 def test_synthetic_title(spark):
     rows = [(1, 1, 1, "heading", 3, "First.", "b0001"), (1, 1, 2, "paragraph", None, "x", "b0002")]
     b = spark.createDataFrame(rows, "doc_id int, page int, block_no int, type string, level int, text string, block_id string")
