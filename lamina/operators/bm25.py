@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -37,8 +37,7 @@ def stemmed(tokens: DataFrame, term: str = "term") -> DataFrame:
 
 def build(chunks: DataFrame, stem: bool = False) -> Index:
     """Index of chunks (chunk_id, text). A chunk without tokens gets one sentinel token."""
-    t = T.tokens(F.col("text"))
-    rows = chunks.select("chunk_id", F.explode(F.when(F.size(t) == 0, F.array(F.lit(SENTINEL))).otherwise(t)).alias("term"))
+    rows = chunks.select("chunk_id", F.explode_outer(T.tokens(F.col("text"))).alias("term")).withColumn("term", F.coalesce("term", F.lit(SENTINEL)))
     if stem:
         rows = stemmed(rows)
     postings = rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
@@ -46,6 +45,35 @@ def build(chunks: DataFrame, stem: bool = False) -> Index:
     return Index(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")), lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
+TABLES = ("postings", "chunks", "terms", "totals")
+
+
+def stamp(chunks: DataFrame) -> DataFrame:
+    """One row (chunks, digest) that tells whether chunks (chunk_id, text) are those of an index, whatever their order."""
+    h = lambda seed: F.xxhash64(F.lit(seed), F.col("chunk_id").cast("string"), "text")
+    return chunks.agg(F.count("*").alias("chunks"), F.concat_ws(":", *[F.hex(F.coalesce(F.bit_xor(h(seed)), F.lit(0))) for seed in (1, 2)]).alias("digest"))
+
+
+def save(index: Index, chunks: DataFrame, path: str) -> None:
+    """Writes the index, postings and terms by ranges of terms, so that a query's terms touch few row groups; the stamp of its chunks comes last."""
+    for name in TABLES:
+        table = getattr(index, name)
+        if name in ("postings", "terms"):
+            table = table.repartitionByRange("term").sortWithinPartitions("term")
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    stamp(chunks).write.mode("overwrite").parquet(f"{path}/stamp")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in TABLES))
+
+
+def stale(spark: SparkSession, path: str, chunks: DataFrame) -> DataFrame:
+    """One row (stale): whether the index at path was built from other chunks than these."""
+    old = spark.read.parquet(f"{path}/stamp").select(F.col("chunks").alias("n"), F.col("digest").alias("d"))
+    return stamp(chunks).crossJoin(old).select(((F.col("chunks") != F.col("n")) | (F.col("digest") != F.col("d"))).alias("stale"))  # one row each
+
+
 def query_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
     """(query_id, term, qtf) of queries (query_id, query); a repeated term counts as often as it stands there."""
     rows = queries.select("query_id", F.explode(T.tokens(F.col("query"), query=True)).alias("term"))

@@ -5,6 +5,7 @@ documents are plain texts, a line a paragraph, 20 lines a page; conversations ar
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -89,6 +90,29 @@ def bm25_batch_topk(spark, sf_dir):
     return _hits(bm25.top(bm25.scores(_batch(spark, sf_dir), _index(spark, sf_dir)), 5))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """The index of all documents, written under the warehouse, which all executors share."""
+    chunks = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/index-{uuid.uuid4().hex}"
+    bm25.save(bm25.build(chunks), chunks, path)
+    return path
+
+
+@query(f"WITH q AS (SELECT item_id AS query_id, text AS query FROM benchmark), {TOKENS_SQL}, {QUERY_SQL} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM scored QUALIFY rank <= 5")
+def index_roundtrip(spark, sf_dir):
+    return _hits(bm25.top(bm25.scores(_batch(spark, sf_dir), bm25.load(spark, _stored(spark, sf_dir))), 5))
+
+
+@query("SELECT 'same' AS name, false AS stale UNION ALL SELECT 'one text changed', true UNION ALL SELECT 'one document less', true")
+def index_stale(spark, sf_dir):
+    path, d = _stored(spark, sf_dir), read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    first = d.agg(F.min("chunk_id")).first()[0]
+    changed = d.withColumn("text", F.when(F.col("chunk_id") == first, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    cases = {"same": d, "one text changed": changed, "one document less": d.where(F.col("chunk_id") != first)}
+    out = [bm25.stale(spark, path, x).select(F.lit(name).alias("name"), "stale") for name, x in cases.items()]
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
 @query(f"WITH q AS (SELECT item_id AS query_id, text AS query FROM benchmark), {TOKENS_SQL}, {QUERY_SQL} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM scored JOIN documents USING (doc_id) WHERE lang = 'fr' QUALIFY rank <= 5")
 def bm25_lang_mask(spark, sf_dir):
     langs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
