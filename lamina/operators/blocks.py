@@ -37,7 +37,11 @@ def numbered(blocks: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 def normalised(items: DataFrame, page_offset: int = 0) -> DataFrame:
     """Layout items (doc_id, pos, and columns of ITEM_SCHEMA) as blocks; items without content are dropped, tables kept."""
-    t, text = F.col("type"), T.trimmed(F.coalesce("text", F.lit("")))
+    t = F.col("type")
+    none = F.array().cast("array<string>")
+    raw = T.trimmed(F.coalesce("text", F.lit("")))
+    first = lambda *cs: T.trimmed(F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in cs], F.lit("")))
+    text = F.when(t.isin("text", "page_footnote", "ref_text"), T.clean_inline(raw)).when(t.isin("image", "chart", "seal"), first("content", "text")).when(t.isin("equation", *FURNITURE), raw).otherwise(first("text", "content"))
     kind = (
         F.when((t == "text") & (F.coalesce("text_level", F.lit(0)) > 0), "heading")
         .when(t.isin("text", "ref_text"), "paragraph")
@@ -49,10 +53,19 @@ def normalised(items: DataFrame, page_offset: int = 0) -> DataFrame:
         .otherwise("paragraph")
     )
     known = t.isin("text", "ref_text", "equation", "image", "seal", "chart", "table", "code", "list", "page_footnote", *FURNITURE)
-    listed = F.filter(F.transform(F.coalesce("list_items", F.array().cast("array<string>")), T.one_line), lambda x: x != "")
-    caption = T.joined(F.coalesce("image_caption", "seal_caption", "chart_caption", "table_caption", "code_caption", F.array().cast("array<string>")))
-    footnote = T.joined(F.coalesce("image_footnote", "seal_footnote", "chart_footnote", "table_footnote", F.array().cast("array<string>")))
-    body = F.coalesce("code_body", F.lit(""))
+    listed = F.transform(F.filter(F.transform(F.coalesce("list_items", none), T.trimmed), lambda x: x != ""), T.clean_inline)
+
+    def parts(what: str):
+        """Captions or footnotes of the kind itself; pictures of other kinds fall back on those of images."""
+        own = {k: F.coalesce(f"{k}_{what}", none) for k in ("image", "chart", "seal", "table", "code") if f"{k}_{what}" in items.columns}
+        pick = none
+        for k, c in own.items():
+            c = F.when(F.size(c) > 0, c).otherwise(own["image"]) if k in ("chart", "seal") else c
+            pick = F.when(t == k, c).otherwise(pick)
+        return T.clean_inline(T.joined(pick))
+
+    caption, footnote = parts("caption"), parts("footnote")
+    body = F.coalesce(F.when(F.col("code_body") != "", F.col("code_body")), "text", F.lit(""))
     lang = F.when(T.code_language(body) != "", T.code_language(body)).when(F.col("sub_type") == "algorithm", "text")
     out = items.select(
         "doc_id",
@@ -60,7 +73,7 @@ def normalised(items: DataFrame, page_offset: int = 0) -> DataFrame:
         (F.coalesce("page_idx", F.lit(0)) + page_offset + 1).alias("page"),
         kind.alias("type"),
         F.when(kind == "heading", F.least(F.lit(6), F.greatest(F.lit(1), F.col("text_level")))).alias("level"),
-        F.when(kind.isin("heading", "paragraph", "footnote", "furniture"), text).when(kind == "code", T.code_body(body)).when(kind.isin("chart"), F.coalesce("content", F.lit(""))).alias("text"),
+        F.when(kind == "code", T.code_body(body)).when(kind.isin("heading", "paragraph", "footnote", "furniture", "image", "chart"), F.when(~kind.isin("image", "chart") | (text != ""), text)).alias("text"),
         F.when(kind == "equation", T.without_display_fences(text)).alias("latex"),
         F.when(kind.isin("image", "chart", "table", "code"), caption).alias("caption"),
         F.when(kind.isin("image", "chart", "table"), footnote).alias("footnote"),
@@ -68,13 +81,13 @@ def normalised(items: DataFrame, page_offset: int = 0) -> DataFrame:
         F.when(kind == "table", F.coalesce("table_body", F.lit(""))).alias("html"),
         F.when(kind == "code", lang).alias("lang"),
         F.when(kind == "list", listed).alias("items"),
-        F.when(kind == "furniture", t).when(kind == "list", F.col("sub_type")).alias("role"),
+        F.when(kind == "furniture", t).when(kind == "list", F.coalesce(F.when(F.col("sub_type") != "", F.col("sub_type")), F.lit("text"))).alias("role"),
         F.when(~F.coalesce(known, F.lit(False)), t).alias("source_type"),
         "bbox",
     )
     some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     kept = (
-        F.when(F.col("type").isin("heading", "paragraph", "footnote", "furniture", "code"), some("text"))
+        F.when(F.col("type").isin("heading", "paragraph", "footnote", "furniture"), some("text"))
         .when(F.col("type") == "equation", some("latex"))
         .when(F.col("type") == "list", F.size("items") > 0)
         .when(F.col("type").isin("image", "chart"), some("image") | some("caption") | some("text"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from ..functions import text as T
+from .ordered import running
 
 
 def heading_jumps(headings: DataFrame) -> DataFrame:
@@ -49,20 +55,63 @@ def normal_form(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(nfkc_lower(c), r"\\[a-zA-Z]+", ""), r"[\s*_`#>|$\\{}\[\]()~^-]+", "")
 
 
-def segment_gate(segments: DataFrame) -> DataFrame:
-    """Accepts rewritten segments (doc_id, seq, ids, known_ids, source, markdown): ids known, consecutive and not before
-    earlier ones, text kept to 88 in 100 (70 for sources under 25 characters) and to 0.8 to 1.2 of the length."""
+#: What a rewritten segment's line may not begin with: headings, fences, HTML, table rows, images.
+FORBIDDEN = r"(?m)^\s{0,3}(#{1,6}\s|```|~~~|<[a-zA-Z!/]|\|.*\|\s*$|!\[)"
+
+
+def parse_segments(replies: DataFrame) -> DataFrame:
+    """(doc_id, seq, ids, markdown) of replies (doc_id, text): what follows each line [[b0001]] or [[b0001+b0002]].
+    An outer code fence and text before the first such line go; null and other replies without any give no row."""
+    line = r"(?m)^\s*\[\[(b\d{4,}(?:\s*\+\s*b\d{4,})*)\]\]\s*$"
+    text = F.regexp_replace(T.trimmed(F.col("text")), r"^```[a-z]*\n|\n```\s*\z", "")
+    bodies = F.split(text, line)
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(line), 1).alias("ids"), F.slice(bodies, F.lit(2), F.greatest(F.size(bodies) - 1, F.lit(0))).alias("markdown"))
+    out = replies.select("doc_id", F.posexplode(both).alias("i", "x"))
+    return out.select("doc_id", (F.col("i") + 1).alias("seq"), F.regexp_extract_all("x.ids", F.lit(r"b\d{4,}"), 0).alias("ids"), T.trimmed(F.col("x.markdown")).alias("markdown"))
+
+
+def segment_gate(segments: DataFrame, formula_ok: Callable[[Column], Column] = braces_balanced) -> DataFrame:
+    """Accepts rewritten segments (doc_id, seq, ids, known_ids, source, markdown): ids known, consecutive and after those of
+    any earlier segment in order, text kept to 88 in 100 (70 for sources under 25 characters) and to 0.8 to 1.2 of the
+    length, formulas sound by formula_ok. problem names the first rule that a segment breaks, null if none."""
     from ..functions.python import fidelity
 
-    s = segments.withColumn("a", normal_form(F.col("source"))).withColumn("b", normal_form(F.col("markdown")))
-    s = s.withColumn("ratio", fidelity(F.col("a"), F.col("b"))).withColumn("share", F.when(F.length("a") == 0, F.when(F.length("b") == 0, 1.0).otherwise(99.0)).otherwise(F.length("b") / F.length("a")))
+    s = segments.withColumn("a", normal_form(F.coalesce("source", F.lit("")))).withColumn("b", normal_form(F.coalesce("markdown", F.lit(""))))
+    s = s.withColumn("ratio", fidelity(F.col("a"), F.col("b"))).withColumn("share", F.when((F.length("a") == 0) & (F.length("b") == 0), 1.0).otherwise(F.length("b") / F.greatest(F.length("a"), F.lit(1))))
+    s = s.withColumn("at", F.transform("ids", lambda i: F.array_position("known_ids", i).cast("int")))
+    s = s.withColumn("_known", F.coalesce((F.size("ids") > 0) & ~F.array_contains("at", 0), F.lit(False)))
+    lo, hi = F.array_min("at"), F.array_max("at")
+    s = s.withColumn("_run", F.coalesce(F.col("_known") & (F.col("at") == F.sequence(lo, hi)), F.lit(False))).withColumn("_lo", lo).withColumn("_hi", hi)
+
+    def step(last, run, lo, hi):
+        # A segment in order moves the place on, whatever else is wrong with it.
+        last = last or 0
+        fine = run and lo > last
+        return (hi if fine else last), fine
+
+    s = running(s, ["doc_id"], ["seq"], ["_run", "_lo", "_hi"], step, "_ordered", BooleanType())
     short = F.length("a") < 25
-    at = F.transform("ids", lambda i: F.array_position("known_ids", i))
-    place = s.withColumn("at", at).withColumn("lo", F.array_min("at")).withColumn("hi", F.array_max("at"))
-    known = F.size(F.array_except("ids", "known_ids")) == 0
-    run = (F.col("hi") - F.col("lo") + 1 == F.size("ids")) & (F.array_sort("at") == F.col("at"))
-    faithful = (F.col("ratio") >= F.when(short, 70).otherwise(88)) & (short | F.col("share").between(0.8, 1.2))
-    clean = ~F.col("markdown").rlike(r"(?m)^\s{0,3}(#{1,6}\s|```|~~~)") & (F.trim("markdown") != "")
-    fine = place.withColumn("_fine", F.coalesce(known & run & faithful & clean, F.lit(False)))
-    top = F.max(F.when(F.col("_fine"), F.col("hi"))).over(Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    return fine.withColumn("accepted", F.col("_fine") & (F.col("lo") > F.coalesce(top, F.lit(0)))).drop("a", "b", "_fine")
+    formulas = F.regexp_extract_all("markdown", F.lit(r"(?<![\\$])\$(?!\$)([^$\n]+?)(?<!\\)\$(?!\$)"), 1)
+    problem = (
+        F.when(~F.col("_known"), "unknown ids")
+        .when(~F.col("_ordered"), "ids out of order or not consecutive")
+        .when(T.trimmed(F.coalesce("markdown", F.lit(""))) == "", "empty output")
+        .when(F.col("markdown").rlike(FORBIDDEN), "forbidden Markdown")
+        .when((F.col("ratio") < F.when(short, 70).otherwise(88)) | ~(short | F.col("share").between(0.8, 1.2)), "fidelity")
+        .when(F.exists(formulas, lambda x: ~formula_ok(T.fixed_latex(x))), "invalid formula")
+    )
+    return s.withColumn("problem", problem).withColumn("accepted", F.col("problem").isNull()).drop("a", "b", "at", "_known", "_run", "_lo", "_hi", "_ordered")
+
+
+def missing_ids(blocks: DataFrame, gated: DataFrame) -> DataFrame:
+    """(doc_id, block_id) of prose blocks that no segment in order covers; gated as segment_gate returns it."""
+    seen = gated.where("problem is null or problem not in ('unknown ids', 'ids out of order or not consecutive')").select("doc_id", F.explode("ids").alias("block_id")).distinct()
+    return blocks.where(F.col("type").isin(*T.TEXT_KINDS)).select("doc_id", "block_id").join(seen, ["doc_id", "block_id"], "left_anti")
+
+
+def segment_stats(blocks: DataFrame, gated: DataFrame) -> DataFrame:
+    """Of each document: accepted segments, blocks that they cover, and prose blocks left as they were."""
+    prose = blocks.groupBy("doc_id").agg(F.sum(F.col("type").isin(*T.TEXT_KINDS).cast("long")).alias("n_prose"))
+    taken = gated.where("accepted").groupBy("doc_id").agg(F.count("*").alias("n_segments"), F.sum(F.size("ids")).alias("n_covered"))
+    out = prose.join(taken, "doc_id", "left").na.fill(0, ["n_segments", "n_covered"])
+    return out.select("doc_id", "n_segments", "n_covered", (F.col("n_prose") - F.col("n_covered")).alias("n_fallback"))

@@ -87,3 +87,13 @@ def filled_pages(lines: DataFrame, direct: Column) -> Column:
     """A line's page: its own, else the last before it, else the document's smallest."""
     w = Window.partitionBy("doc_id")
     return F.coalesce(F.last(direct, True).over(w.orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)), F.min(direct).over(w))
+
+
+def line_pages(anchors: DataFrame, totals: DataFrame, order: str = "block_no") -> DataFrame:
+    """(doc_id, ln, page) of every line up to totals (doc_id, total), from anchors (doc_id, first, last, page): a line has
+    the page of its first anchor, others that of the line before, lines before any the document's smallest."""
+    own = anchors.where("page > 0").select("doc_id", order, "page", F.explode(F.sequence("first", "last")).alias("ln"))
+    own = own.groupBy("doc_id", "ln").agg(F.min_by("page", order).alias("direct"))
+    every = totals.where("total > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("total").cast("int"))).alias("ln"))
+    x = every.join(own, ["doc_id", "ln"], "left").withColumn("page", filled_pages(None, F.col("direct")))
+    return x.where("page is not null").select("doc_id", "ln", "page")

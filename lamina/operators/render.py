@@ -12,17 +12,22 @@ def block_markdown(columns: set[str]) -> Column:
     """Markdown of a block, by type; columns that a table lacks count as null."""
     c = lambda n: F.col(n) if n in columns else F.lit(None).cast("string")
     text = F.coalesce(c("text"), F.lit(""))
-    image = F.when(F.coalesce(c("image"), F.lit("")) != "", F.concat(F.lit("!["), T.escaped_alt(F.coalesce(c("caption"), F.lit(""))), F.lit("]("), c("image"), F.lit(")")))
+    line = lambda n: T.one_line(F.coalesce(c(n), F.lit("")))
+    start = lambda n: T.escaped_start(line(n))
+    alt = F.when(line("caption") != "", T.escaped_alt(line("caption"))).otherwise(c("type"))
+    image = F.when(F.coalesce(c("image"), F.lit("")) != "", F.concat(F.lit("!["), alt, F.lit("]("), c("image"), F.lit(")")))
     lines = lambda *parts: F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), "\n\n")
     listed = T.bullets(F.col("items")) if "items" in columns else F.lit("")
+    code = F.regexp_replace(text, r"\s+\z", "")
     table = c("gfm")
     return (
-        F.when(c("type") == "heading", F.concat(F.repeat(F.lit("#"), F.coalesce(F.col("level"), F.lit(2)).cast("int")), F.lit(" "), T.heading_text(text)))
-        .when(c("type") == "equation", F.concat(F.lit("$$\n"), F.coalesce(c("latex"), F.lit("")), F.lit("\n$$")))
-        .when(c("type") == "code", F.concat(T.fence(text), F.coalesce(c("lang"), F.lit("")), F.lit("\n"), text, F.lit("\n"), T.fence(text)))
+        F.when(c("type") == "heading", F.concat(F.repeat(F.lit("#"), F.coalesce(F.col("level"), F.lit(2)).cast("int")), F.lit(" "), T.one_line(text)))
+        .when(c("type") == "equation", F.concat(F.lit("$$\n"), T.trimmed(F.coalesce(c("latex"), F.lit(""))), F.lit("\n$$")))
+        .when(c("type") == "code", lines(start("caption"), F.concat(T.fence(text), F.coalesce(c("lang"), F.lit("")), F.lit("\n"), code, F.lit("\n"), T.fence(text))))
         .when(c("type") == "list", listed)
-        .when(c("type") == "table", lines(c("caption"), F.coalesce(table, image), c("footnote")))
-        .when(c("type").isin("image", "chart"), lines(image, c("caption"), text, c("footnote")))
+        .when(c("type") == "table", lines(start("caption"), F.coalesce(F.when(table != "", table), image), start("footnote")))
+        .when(c("type") == "image", lines(image, start("caption"), start("footnote")))
+        .when(c("type") == "chart", lines(image, start("caption"), T.trimmed(text), start("footnote")))
         .when(c("type") == "furniture", F.lit(""))
         .otherwise(T.escaped_start(T.one_line(text)))
     )

@@ -266,7 +266,7 @@ scalar("numbering_depth", [("1 Intro", 1), ("2.1 Storage", 2), ("3.2.1. Deep", 3
 scalar("escape_block_start", [("# x", "\\# x"), ("1. x", "1\\. x"), ("12) y", "12\\) y"), ("- x", "\\- x"), ("> q", "\\> q"), ("plain", "plain"), ("+ p", "\\+ p"), ("a # b", "a # b")], T.escaped_start)
 scalar("heading_text", [("Results:", "Results"), ("结论。", "结论"), (" a \n b . ", "a b"), ("...", "Untitled")], T.heading_text)
 scalar("tidy_math", [("see $ x^2 $ here", "see $x^2$ here"), ("costs $5 and $10", "costs $5 and $10"), ("none", "none")], T.tidy_math)
-scalar("latex_fix", [("\\label{a} x", "x"), ("a \\hdots b", "a \\cdots b"), ("x \\nonumber", "x"), ("\\mathbf v", "\\mathbf{v}")], T.fixed_latex)
+scalar("latex_fix", [("\\label{a} x", "x"), ("a \\hdots b", "a \\cdots b"), ("x \\nonumber", "x"), ("\\bm{v}", "\\boldsymbol{v}"), ("\\mathbf v", "\\mathbf v"), ("x\\textsuperscript{2}", "x^{2}")], T.fixed_latex)
 scalar("one_line", [(" a \n  b ", "a b"), ("c", "c")], T.one_line)
 scalar("display_fences", [("$$ x $$", "x"), ("\\[ y \\]", "y"), ("z", "z")], T.without_display_fences)
 scalar("code_fence", [("a", "```"), ("a ``` b", "````"), ("``x``", "```")], T.fence)
@@ -275,7 +275,7 @@ scalar("line_range", [("7", "7-7"), ("9-3", "3-9"), ("2:4", "2-4"), ("x", None)]
 scalar("https_urls", [("git@host.org:a/b.git", "https://host.org/a/b"), ("https://tok@host.org/a/b", "https://host.org/a/b"), ("git://host.org/a/b.git", "https://host.org/a/b"), ("ssh://git@host.org/a/b.git", "https://host.org/a/b")], T.https_url)
 scalar("escape_alt", [("a[b]\\c", "a\\[b\\]\\\\c")], T.escaped_alt)
 scalar("inline_tags", [("<b>x</b> <i>y</i><br/>z <span class='q'>w</span>", "**x** *y* z w")], T.tags_to_markdown)
-scalar("autolink", [("see https://a.example/b. Then", "see <https://a.example/b>. Then"), ("(https://a.example)", "(https://a.example)")], T.autolinked)
+scalar("autolink", [("see https://a.example/b. Then", "see <https://a.example/b>. Then"), ("(https://a.example)", "(<https://a.example>)"), ("[x](https://a.example) http://a.b", "[x](https://a.example) http://a.b")], T.autolinked)
 scalar("image_words", [("x ![alt](p.png) y", "x [image: alt] y")], T.images_as_words)
 scalar("drop_thinking", [("<think>a\nb</think> c", "c"), ("d", "d")], T.without_thinking)
 scalar("safe_names", [("a b/c.PDF", "a_b_c.PDF"), ("ü.md", "_.md")], T.safe_name)
@@ -401,19 +401,29 @@ def line_page_ffill(spark, sf_dir):
 
 # ---------------------------------------------------------------- chunks
 
-PACK_SQL = f"""
-{LINES_SQL}, e AS (SELECT doc_id, ln, line, CAST(trunc(1.3::DOUBLE * len(regexp_extract_all(line, '[A-Za-z0-9]+'))) AS BIGINT) AS est FROM lines),
-r AS (SELECT doc_id, ln, est, est AS acc, 0 AS chunk_no FROM e WHERE ln = 1
-  UNION ALL SELECT e.doc_id, e.ln, e.est, CASE WHEN r.acc = 0 OR r.acc + e.est <= {T.TARGET_TOKENS} THEN r.acc + e.est ELSE e.est END, CASE WHEN r.acc = 0 OR r.acc + e.est <= {T.TARGET_TOKENS} THEN r.chunk_no ELSE r.chunk_no + 1 END
-  FROM r JOIN e ON e.doc_id = r.doc_id AND e.ln = r.ln + 1)"""
+def pack_sql(key: str, at: str, limit: int) -> str:
+    """Table r (key, at, chunk_no): pieces of table e (key, at from 1, w words, o begins and z ends in a word) packed to limit as one text."""
+    met, fits = "(e.w - (r.z AND e.o)::INT)", f"trunc(1.3::DOUBLE * (r.acc + e.w - (r.z AND e.o)::INT)) <= {limit}"
+    return (
+        f"r AS (SELECT {key}, {at}, w AS acc, coalesce(z, false) AS z, 0 AS chunk_no FROM e WHERE {at} = 1 UNION ALL SELECT {', '.join('e.' + k.strip() for k in key.split(','))}, e.{at}, "
+        f"CASE WHEN {fits} THEN r.acc + {met} ELSE e.w END, CASE WHEN {fits} THEN coalesce(e.z, r.z) ELSE coalesce(e.z, false) END, CASE WHEN {fits} THEN r.chunk_no ELSE r.chunk_no + 1 END "
+        f"FROM r JOIN e ON {' AND '.join(f'e.{k.strip()} = r.{k.strip()}' for k in key.split(','))} AND e.{at} = r.{at} + 1)"
+    )
+
+
+def words_sql(text: str) -> str:
+    return f"len(regexp_extract_all({text}, '[A-Za-z0-9]+')) AS w, regexp_matches({text}, '^[A-Za-z0-9]') AS o, CASE WHEN {text} <> '' THEN regexp_matches({text}, '[A-Za-z0-9]$') END AS z"
+
+
+PACK_SQL = f"{LINES_SQL}, e AS (SELECT doc_id, ln, line, CAST(trunc(1.3::DOUBLE * len(regexp_extract_all(line, '[A-Za-z0-9]+'))) AS BIGINT) AS est, {words_sql('line')} FROM lines), {pack_sql('doc_id', 'ln', T.TARGET_TOKENS)}"
 
 
 def _packed(spark, sf_dir) -> DataFrame:
     p = _lines(spark, sf_dir).withColumn("est", T.est_tokens(F.col("line")))
-    return chunks.packed(p, ["doc_id"], "ln", "est", T.TARGET_TOKENS)
+    return chunks.packed(p, ["doc_id"], "ln", T.TARGET_TOKENS, "line")
 
 
-@query(f"WITH RECURSIVE {PACK_SQL} SELECT doc_id, chunk_no, min(ln) AS first, max(ln) AS last, sum(est) AS est FROM r GROUP BY ALL")
+@query(f"WITH RECURSIVE {PACK_SQL} SELECT doc_id, chunk_no, min(ln) AS first, max(ln) AS last, sum(est) AS est FROM r JOIN e USING (doc_id, ln) GROUP BY ALL")
 def chunk_pack(spark, sf_dir):
     return _packed(spark, sf_dir).groupBy("doc_id", "chunk_no").agg(F.min("ln").alias("first"), F.max("ln").alias("last"), F.sum("est").alias("est"))
 
@@ -427,13 +437,13 @@ def chunk_rows(spark, sf_dir):
 
 
 @query(
-    f"WITH RECURSIVE {BLOCKS_SQL}, e AS (SELECT doc_id, block_no, type, length(text) AS n FROM blocks), "
-    "r AS (SELECT doc_id, block_no, n AS acc, 0 AS batch FROM e WHERE block_no = 1 UNION ALL SELECT e.doc_id, e.block_no, CASE WHEN r.acc = 0 OR r.acc + e.n <= 6000 THEN r.acc + e.n ELSE e.n END, CASE WHEN r.acc = 0 OR r.acc + e.n <= 6000 THEN r.batch ELSE r.batch + 1 END FROM r JOIN e ON e.doc_id = r.doc_id AND e.block_no = r.block_no + 1) "
-    "SELECT doc_id, batch, count(*) AS n_blocks FROM r GROUP BY ALL"
+    rf"WITH RECURSIVE {BLOCKS_SQL}, e AS (SELECT doc_id, block_no, type, CASE WHEN type = 'paragraph' THEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) ELSE 40 END AS n FROM blocks), "
+    "r AS (SELECT doc_id, block_no, n AS acc, 0 AS batch FROM e WHERE block_no = 1 UNION ALL SELECT e.doc_id, e.block_no, "
+    "CASE WHEN r.acc + e.n > 6000 OR (e.type = 'heading' AND r.acc > 3000) THEN e.n ELSE r.acc + e.n END, CASE WHEN r.acc + e.n > 6000 OR (e.type = 'heading' AND r.acc > 3000) THEN r.batch + 1 ELSE r.batch END "
+    "FROM r JOIN e ON e.doc_id = r.doc_id AND e.block_no = r.block_no + 1) SELECT doc_id, batch, count(*) AS n_blocks, min(block_no) AS first FROM r GROUP BY ALL"
 )
 def prose_batches(spark, sf_dir):
-    b = _blocks(spark, sf_dir).withColumn("n", F.length("text"))
-    return chunks.packed(b, ["doc_id"], "block_no", "n", 6000).groupBy("doc_id", F.col("chunk_no").alias("batch")).agg(F.count("*").alias("n_blocks"))
+    return chunks.batched(_blocks(spark, sf_dir)).groupBy("doc_id", "batch").agg(F.count("*").alias("n_blocks"), F.min("block_no").alias("first"))
 
 
 @query()
@@ -442,12 +452,44 @@ def markdown_blocks(spark, sf_dir):
     return chunks.markdown_blocks(md)
 
 
-@query(rf"SELECT doc_id, unnest(range(0, len(p))) AS part, md5(unnest(p)) AS digest FROM (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '([.!?;])\s*', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM documents WHERE trunc(1.3::DOUBLE * len(regexp_extract_all(text, '[A-Za-z0-9]+'))) > {T.MAX_TOKENS})")
+@query(
+    rf"WITH RECURSIVE d AS (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?;])\s*', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents WHERE trunc(1.3::DOUBLE * len(regexp_extract_all(text, '[A-Za-z0-9]+'))) > {T.MAX_TOKENS}), "
+    f"s AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS t FROM d), e AS (SELECT doc_id, i, t, {words_sql('t')} FROM s), {pack_sql('doc_id', 'i', T.MAX_TOKENS)}, "
+    r"g AS (SELECT doc_id, chunk_no, string_agg(t, '' ORDER BY i) AS t FROM r JOIN e USING (doc_id, i) GROUP BY ALL) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no) - 1 AS part, md5(t) AS digest FROM g WHERE regexp_matches(t, '\S')"
+)
 def long_split(spark, sf_dir):
     d = read(spark, sf_dir, "documents").where(T.est_tokens(F.col("text")) > T.MAX_TOKENS).select("doc_id", F.lit("text").alias("type"), "text")
     return chunks.long_split(d).select("doc_id", "part", F.md5("text").alias("digest"))
 
 
+TOTALS_SQL = "totals AS (SELECT doc_id, max(ln) AS total FROM anchors GROUP BY ALL)"
+
+
+def _line_pages(spark, sf_dir) -> DataFrame:
+    a = _anchors(spark, sf_dir)
+    return outline.line_pages(a, a.groupBy("doc_id").agg(F.max("last").alias("total")))
+
+
+@query(f"WITH {BLOCKS_SQL}, {MD_SQL} SELECT doc_id, unnest(CASE WHEN last THEN [ln] ELSE [ln, ln + 1] END) AS ln, page FROM (SELECT doc_id, ln, page, ln = max(ln) OVER (PARTITION BY doc_id) AS last FROM anchors)")
+def line_page_map(spark, sf_dir):
+    return _line_pages(spark, sf_dir)
+
+
+@query(
+    f"WITH RECURSIVE {BLOCKS_SQL}, {MD_SQL}, s AS (SELECT *, sum((type = 'heading')::INT) OVER w AS section, max(CASE WHEN level = 1 THEN block_no END) OVER w AS o1, max(CASE WHEN level = 2 THEN block_no END) OVER w AS o2, max(CASE WHEN level = 3 THEN block_no END) OVER w AS o3 "
+    "FROM anchors WINDOW w AS (PARTITION BY doc_id ORDER BY block_no ROWS UNBOUNDED PRECEDING)), "
+    "e AS (SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY block_no) AS i, ln, page, md, "
+    "concat_ws(' > ', CASE WHEN o1 IS NOT NULL THEN 'system' END, CASE WHEN o2 > coalesce(o1, -1) THEN 'user' END, CASE WHEN o3 > greatest(coalesce(o1, -1), coalesce(o2, -1)) THEN 'assistant' END) AS path, "
+    f"{words_sql('md')} FROM s WHERE type <> 'heading'), {pack_sql('doc_id, section', 'i', T.TARGET_TOKENS)}, "
+    "g AS (SELECT doc_id, section, chunk_no, any_value(path) AS path, min(ln) AS first, max(ln) AS last, min(page) AS page_min, max(page) AS page_max, string_agg(md, chr(10) || chr(10) ORDER BY i) AS t FROM r JOIN e USING (doc_id, section, i) GROUP BY ALL), "
+    r"n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section, chunk_no) - 1 AS seq FROM g) SELECT doc_id || '#' || printf('%04d', seq) AS id, path, first, last, page_min, page_max, substr(sha1(regexp_replace(t, '^\s+|\s+$', '', 'g')), 1, 12) AS sha1 FROM n"
+)
+def chunk_markdown(spark, sf_dir):
+    md = render.assembled(_anchors(spark, sf_dir)).select("doc_id", F.col("markdown").alias("text"))
+    c = chunks.chunk_markdown(md, _line_pages(spark, sf_dir))
+    return c.select("id", F.array_join("heading_path", " > ").alias("path"), "first", "last", "page_min", "page_max", "sha1")
+
+
 # ---------------------------------------------------------------- lookup
 
 PREVIEW_SQL = f"{BLOCKS_SQL}, p AS (SELECT *, substr(regexp_replace(trim(text), '\\s*\\n\\s*', ' ', 'g'), 1, 100) AS preview FROM blocks)"
@@ -622,9 +664,100 @@ def fidelity_pairs(spark, sf_dir):
     return d.withColumn("b", F.lag("a").over(w)).where("b is not null").select("conv_id", "turn", F.round(P.fidelity(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
-@query()
+GATE_SQL = rf"""
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS k, text FROM blocks WHERE type = 'paragraph'),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, CASE WHEN k % 4 = 0 THEN k - 1 ELSE k END AS lo, CASE WHEN k % 4 = 0 THEN k - 1 WHEN k % 6 = 1 THEN k + 1 ELSE k END AS hi, CASE WHEN k % 5 = 0 THEN '<div> ' || text WHEN k % 7 = 0 THEN '' WHEN k % 11 = 0 THEN '| ' || text || ' |' ELSE text END AS md FROM p),
+o AS (SELECT doc_id, k, hi <= n AS ordered, CASE WHEN hi <= n THEN hi ELSE 0 END AS top FROM c WHERE k = 1
+  UNION ALL SELECT c.doc_id, c.k, c.hi <= c.n AND c.lo > o.top, CASE WHEN c.hi <= c.n AND c.lo > o.top THEN c.hi ELSE o.top END FROM o JOIN c ON c.doc_id = o.doc_id AND c.k = o.k + 1),
+gated AS (SELECT doc_id, k AS seq, hi - lo + 1 AS n_ids, lo, hi, ordered, CASE WHEN hi > n THEN 'unknown ids' WHEN NOT ordered THEN 'ids out of order or not consecutive' WHEN trim(md) = '' THEN 'empty output'
+  WHEN regexp_matches(md, '(?m)^\s{{0,3}}(#{{1,6}}\s|```|~~~|<[a-zA-Z!/]|\|.*\|\s*$|!\[)') THEN 'forbidden Markdown' END AS problem FROM o JOIN c USING (doc_id, k))"""
+
+
+def _gated(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Paragraphs of conversations with made segments: one a paragraph, some going back, reaching over two, empty, or forbidden."""
+    p = _blocks(spark, sf_dir).where("type = 'paragraph'").withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("block_no")))
+    known = p.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "block_id"))), lambda x: x["block_id"]).alias("known_ids"))
+    k, text = F.col("k"), F.col("text")
+    lo = F.when(k % 4 == 0, k - 1).otherwise(k)
+    ids = F.slice(F.concat("known_ids", F.array(F.lit("b9999"))), lo, F.when((k % 4 != 0) & (k % 6 == 1), 2).otherwise(1))
+    md = F.when(k % 5 == 0, F.concat(F.lit("<div> "), text)).when(k % 7 == 0, "").when(k % 11 == 0, F.concat(F.lit("| "), text, F.lit(" |"))).otherwise(text)
+    source = F.when(F.size(ids) == 2, md).otherwise(text)
+    return p, check.segment_gate(p.join(known, "doc_id").select("doc_id", k.alias("seq"), ids.alias("ids"), "known_ids", source.alias("source"), md.alias("markdown")))
+
+
+@query(f"WITH RECURSIVE {BLOCKS_SQL}, {GATE_SQL} SELECT doc_id, seq, problem, problem IS NULL AS accepted FROM gated")
 def segment_gate(spark, sf_dir):
-    b = _blocks(spark, sf_dir)
-    known = b.groupBy("doc_id").agg(F.array_sort(F.collect_list("block_id")).alias("known_ids"))
-    s = b.join(known, "doc_id").select("doc_id", F.col("block_no").alias("seq"), F.array("block_id").alias("ids"), "known_ids", F.col("text").alias("source"), F.when(F.col("block_no") % 5 == 0, F.concat(F.lit("# "), "text")).when(F.col("block_no") % 7 == 0, F.concat("text", F.lit(" and much that nobody ever wrote in this place at all"))).otherwise(F.col("text")).alias("markdown"))
-    return check.segment_gate(s).select("doc_id", "seq", "accepted", F.round("ratio", 4).alias("ratio"))
+    return _gated(spark, sf_dir)[1].select("doc_id", "seq", "problem", "accepted")
+
+
+@query(f"WITH RECURSIVE {BLOCKS_SQL}, {GATE_SQL} SELECT doc_id, printf('b%04d', block_no) AS block_id FROM (SELECT doc_id, block_no, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS k FROM blocks WHERE type = 'paragraph') x WHERE NOT EXISTS (SELECT 1 FROM gated g WHERE g.doc_id = x.doc_id AND g.ordered AND x.k BETWEEN g.lo AND g.hi)")
+def segment_missing(spark, sf_dir):
+    return check.missing_ids(*_gated(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {BLOCKS_SQL}, {GATE_SQL} SELECT doc_id, count(*) FILTER (problem IS NULL) AS n_segments, CAST(coalesce(sum(n_ids) FILTER (problem IS NULL), 0) AS BIGINT) AS n_covered, CAST(count(*) - coalesce(sum(n_ids) FILTER (problem IS NULL), 0) AS BIGINT) AS n_fallback FROM gated GROUP BY ALL")
+def segment_stats(spark, sf_dir):
+    return check.segment_stats(*_gated(spark, sf_dir))
+
+
+@query("WITH p AS (SELECT p_partkey AS doc_id, p_name, p_brand, printf('b%04d', p_partkey) AS b FROM part) SELECT doc_id, 1 AS seq, b AS ids, p_name AS markdown FROM p UNION ALL SELECT doc_id, 2, 'b0001+' || b, p_brand FROM p")
+def segment_parse(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    b = F.format_string("b%04d", F.col("p_partkey"))
+    reply = F.concat(F.lit("```md\nnoise\n[["), b, F.lit("]]\n"), "p_name", F.lit("\n\n [[b0001 + "), b, F.lit("]] \n "), "p_brand", F.lit(" \n```"))
+    out = check.parse_segments(p.select(F.col("p_partkey").alias("doc_id"), reply.alias("text")))
+    return out.select("doc_id", "seq", F.array_join("ids", "+").alias("ids"), "markdown")
+
+
+# ---------------------------------------------------------------- inline text, kinds and rendering over a whole table
+
+_SUBS = "'0123456789', '₀₁₂₃₄₅₆₇₈₉'"
+
+
+@query(
+    f"SELECT p_partkey, 'H' || translate(p_size::VARCHAR, {_SUBS}) || 'O x²⁺ y$_{{ab' || p_size || '}}$ **' || p_brand || '** *i* $a^2$ $5 and $ see <https://x.example/' || p_partkey || '>. http://a.b m $^{{\\text{{a b}}}}$ z$^{{\\dagger}}$' AS v FROM part"
+)
+def clean_inline(spark, sf_dir):
+    n, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    raw = F.concat(
+        F.lit("H<sub>"), size, F.lit("</sub>O x<sup>2+</sup> y<SUB> ab"), size, F.lit("</SUB> <b>"), "p_brand", F.lit("</b><br/><i>i</i> $ a^2 $ $5 and $ see https://x.example/"), n,
+        F.lit(". http://a.b <mark class='q'>m</mark> <sup>a b</sup> z<sup>†</sup><sub> </sub>"),
+    )
+    return read(spark, sf_dir, "part").select("p_partkey", T.clean_inline(raw).alias("v"))
+
+
+def _mixed_items(spark, sf_dir) -> DataFrame:
+    """Layout items of all kinds, one a part, in documents of a thousand."""
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey") % 9
+    kinds = ("text", "image", "chart", "seal", "table", "code", "list", "equation", "odd")
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (k + 1).cast("int"))
+    name, one = F.col("p_name"), lambda c: F.array(c)
+    given = {
+        "type": kind, "text": F.when(kind.isin("text", "equation", "seal"), F.concat(F.lit(" "), name, F.lit(" "))), "page_idx": (F.col("p_partkey") % 5).cast("int"), "img_path": F.when(kind.isin("image", "chart"), F.concat(F.lit("i/"), "p_partkey", F.lit(".png"))),
+        "image_caption": F.when(kind.isin("image", "chart"), one(F.concat(F.lit("# "), "p_brand"))), "chart_footnote": F.when(kind == "chart", one(F.lit("- n"))), "table_caption": F.when(kind == "table", one(F.col("p_brand"))), "code_caption": F.when(kind == "code", one(F.col("p_brand"))),
+        "code_body": F.when(kind == "code", F.concat(F.lit("```py\n"), name, F.lit("\n```"))), "list_items": F.when(kind == "list", F.array(F.concat(F.lit("1. "), name), F.lit("  "), F.col("p_brand"))), "content": F.when(kind.isin("odd", "chart"), name),
+    }
+    cols = [given[n].alias(n) if n in given else F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in blocks.ITEM_SCHEMA.split(", "))]
+    return p.select(F.floor(F.col("p_partkey") / 1000).cast("long").alias("doc_id"), F.col("p_partkey").alias("pos"), *cols)
+
+
+KINDS_SQL = """
+k AS (SELECT p_partkey // 1000 AS doc_id, p_partkey AS pos, p_partkey % 9 AS k, p_name AS name, p_brand AS brand FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS block_no, ['paragraph', 'image', 'chart', 'image', 'table', 'code', 'list', 'equation', 'paragraph'][k + 1] AS type,
+  CASE WHEN k IN (0, 2, 3, 5, 8) THEN name END AS text, CASE WHEN k IN (1, 2) THEN '# ' || brand WHEN k IN (4, 5) THEN brand WHEN k = 3 THEN '' END AS caption, CASE WHEN k = 2 THEN '- n' WHEN k IN (1, 3, 4) THEN '' END AS footnote,
+  CASE WHEN k = 6 THEN 'text' END AS role, CASE WHEN k = 8 THEN 'odd' END AS source_type FROM k)"""
+
+
+@query(f"WITH {KINDS_SQL} SELECT doc_id, block_no, type, text, caption, footnote, role, source_type FROM n")
+def normalize_kinds(spark, sf_dir):
+    return blocks.normalised(_mixed_items(spark, sf_dir)).select("doc_id", "block_no", "type", "text", "caption", "footnote", "role", "source_type")
+
+
+@query(
+    f"WITH {KINDS_SQL} SELECT doc_id, block_no, CASE k WHEN 0 THEN name WHEN 1 THEN '![# ' || brand || '](i/' || pos || '.png)' || chr(10) || chr(10) || '\\# ' || brand "
+    "WHEN 2 THEN '![# ' || brand || '](i/' || pos || '.png)' || chr(10) || chr(10) || '\\# ' || brand || chr(10) || chr(10) || name || chr(10) || chr(10) || '\\- n' WHEN 4 THEN brand || chr(10) || chr(10) || '| a |' || chr(10) || '| --- |' "
+    "WHEN 5 THEN brand || chr(10) || chr(10) || '```py' || chr(10) || name || chr(10) || '```' WHEN 6 THEN '- 1\\. ' || name || chr(10) || '- ' || brand WHEN 7 THEN '$$' || chr(10) || name || chr(10) || '$$' ELSE name END AS md FROM n WHERE k <> 3"
+)
+def render_kinds(spark, sf_dir):
+    b = blocks.normalised(_mixed_items(spark, sf_dir)).withColumn("gfm", F.when(F.col("type") == "table", "| a |\n| --- |"))
+    return render.anchored(b).select("doc_id", "block_no", "md")

@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 import sys
 
 import duckdb
@@ -157,6 +158,9 @@ def test_gate_rejects_inventions(spark):
     rows = [(1, 1, ["b1"], ["b1", "b2", "b3"], src, src), (1, 2, ["b2"], ["b1", "b2", "b3"], src, src + " and then invented a long story nobody told before"), (1, 3, ["b3"], ["b1", "b2", "b3"], src, "# " + src), (1, 4, ["b9"], ["b1", "b2", "b3"], src, src)]
     s = spark.createDataFrame(rows, "doc_id int, seq int, ids array<string>, known_ids array<string>, source string, markdown string")
     assert [r.accepted for r in check.segment_gate(s).orderBy("seq").collect()] == [True, False, False, False]
+    rows = [(1, 1, ['b2'], ['b1', 'b2', 'b3'], src, '<div>' + src), (1, 2, ['b1'], ['b1', 'b2', 'b3'], src, src), (1, 3, ['b3'], ['b1', 'b2', 'b3'], src + ' $x$', src + ' $\\frac{x$')]
+    got = [r.problem for r in check.segment_gate(spark.createDataFrame(rows, s.schema)).orderBy('seq').collect()]
+    assert got == ['forbidden Markdown', 'ids out of order or not consecutive', 'invalid formula']
 
 
 def test_units_put_text_on_first_block(spark):
@@ -213,3 +217,29 @@ def test_fidelity_of_whole_turns(spark, tmp_path):
     rows = [(1, 0, "user", same + "a" * 1000), (1, 1, "user", same + "b" * 1000)]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r.ratio for r in QUERIES["fidelity_pairs"](spark, str(tmp_path)).collect()] == [75.0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab1 .!。钛\n", max_size=60), st.integers(1, 12))
+def test_sentences_within(text, limit):
+    """Parts hold all sentences in order, keep within the limit unless one sentence alone passes it, and none could have taken the next sentence."""
+    est = lambda x: sum(c == "钛" for c in x) + int(1.3 * len(re.findall("[A-Za-z0-9]+", x)))
+    parts = chunks.sentences_within(text, limit)
+    assert re.sub(r"\s", "", "".join(parts)) == re.sub(r"\s", "", text)
+    for a, b in zip(parts, parts[1:]):
+        assert est(a + re.split(r"(?<=[。.!])\s*", b)[0]) > limit
+
+
+def test_chunks_of_odd_texts(spark):
+    """Null, empty and blank texts give no chunk; words that meet between blocks count once; sections never share a chunk."""
+    md = "before\n\n# T ![x](u)\n\na\n\nb\n\n## S\n\n" + "w " * 400 + "\n\nend"
+    d = spark.createDataFrame([(1, md), (2, None), (3, ""), (4, " \n ")], "doc_id int, text string")
+    got = [(r.id, r.heading_path, r.first, r["last"], r.kinds, r.index_text.split("\n")[0]) for r in chunks.chunk_markdown(d).orderBy("id").collect()]
+    assert got == [("1#0000", [], 1, 1, ["text"], ""), ("1#0001", ["T x"], 5, 7, ["text"], "T x"), ("1#0002", ["T x", "S"], 11, 11, ["text"], "S"), ("1#0003", ["T x", "S"], 13, 13, ["text"], "S")]
+
+
+def test_cells_and_scripts(spark):
+    d = spark.createDataFrame([("a|b $x|y$ \\(p\\|q\\)", "x<sup>$n$</sup><sub></sub><sup><i>12</i></sup> <s>k</s> <section>")], "c string, t string")
+    r = d.select(T.cell(F.col("c")).alias("c"), T.clean_inline(F.col("t")).alias("t")).first()
+    assert r.c == "a\\|b $x\\vert y$ $p\\Vert q$"
+    assert r.t == "x$^{n}$¹² k <section>"
