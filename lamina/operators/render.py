@@ -35,10 +35,12 @@ def block_markdown(columns: set[str]) -> Column:
 
 def anchored(blocks: DataFrame, order: str = "block_no") -> DataFrame:
     """Rendered blocks with their first and last line, from running sums of line counts: bodies are joined by blank lines."""
-    b = blocks.withColumn("md", block_markdown(set(blocks.columns))).where("md <> ''").withColumn("n_lines", F.size(F.split("md", "\n")))
+    b = blocks.withColumn("md", block_markdown(set(blocks.columns)))
+    # Empty bodies count no line and go after the sums: a filter before them would be pushed down with the whole expression, which would run twice.
+    b = b.withColumn("n_lines", F.when(F.col("md") != "", F.size(F.split("md", "\n"))).otherwise(0))
     w = Window.partitionBy("doc_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.sum(F.col("n_lines") + 1).over(w) - 1
-    return b.withColumn("last", last).withColumn("first", last - F.col("n_lines") + 1)
+    last = F.sum(F.when(F.col("n_lines") > 0, F.col("n_lines") + 1).otherwise(0)).over(w) - 1
+    return b.withColumn("last", last).where("n_lines > 0").withColumn("first", F.col("last") - F.col("n_lines") + 1)
 
 
 def assembled(anchors: DataFrame, order: str = "block_no") -> DataFrame:
