@@ -42,6 +42,13 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """checkpointed(df), and what planning and running it left in the driver's heap goes at once: over many steps the heap would grow to its bound, whatever the data."""
+    done = checkpointed(df)
+    let_go(df.sparkSession)
+    return done
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only where it is unset and driver and executors are one process, as in tests, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)

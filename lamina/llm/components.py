@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import settled
 
 
 def forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -35,26 +35,26 @@ def components(edges: DataFrame) -> DataFrame:
     are pre-aggregated and joins can be split, so a node with very many edges is no hot spot;
     joins are merges, so that no side is ever gathered at the driver. Loops and repeated edges
     do no harm; an empty table gives no rows."""
-    edges = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    edges = settled(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     labels = None
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select("b", "a"))
-        parents = checkpointed(both.groupBy("node").agg(F.min("other").alias("parent")).select("node", F.least("node", "parent").alias("parent")))
+        parents = settled(both.groupBy("node").agg(F.min("other").alias("parent")).select("node", F.least("node", "parent").alias("parent")))
         moving = True
         while moving:  # each time twice as far
             up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand")).hint("merge")
-            jumped = checkpointed(parents.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")))
+            jumped = settled(parents.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")))
             moving = not jumped.where("moved").isEmpty()
             parents = jumped.select("node", "parent")
         if labels is None:
             labels = parents.select("node", F.col("parent").alias("component"))
         else:
             moved = parents.select(F.col("node").alias("component"), "parent").hint("merge")
-            labels = checkpointed(labels.join(moved, "component", "left").select("node", F.coalesce("parent", "component").alias("component")))
+            labels = settled(labels.join(moved, "component", "left").select("node", F.coalesce("parent", "component").alias("component")))
         a = parents.select(F.col("node").alias("a"), F.col("parent").alias("pa")).hint("merge")
         b = parents.select(F.col("node").alias("b"), F.col("parent").alias("pb")).hint("merge")
         moved = edges.join(a, "a").join(b, "b").where("pa <> pb")
-        edges = checkpointed(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        edges = settled(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels

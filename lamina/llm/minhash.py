@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, checkpointed, let_go, texts_of
+from .common import arrow_pass, let_go, settled, texts_of
 from .components import components, forest
 
 WORDS, PERCENT = 5, 75
@@ -187,7 +187,7 @@ def sets_of(ids: DataFrame, n: int, documents: DataFrame) -> DataFrame:
 
     place = lambda seed: F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(bits))
     read = documents.where("doc_id is not null").select(F.col("doc_id"), "text", place(1).alias("p"), place(2).alias("q"))
-    sets = checkpointed(arrow_pass(read, ["doc_id", "text", "p", "q"], run, "id long, s array<long>").join(ids.hint("merge"), "id", "left_semi"))
+    sets = settled(arrow_pass(read, ["doc_id", "text", "p", "q"], run, "id long, s array<long>").join(ids.hint("merge"), "id", "left_semi"))
     shared.destroy()  # the sets lie in the shared folder: no task will ask for it again
     return sets
 
@@ -299,21 +299,21 @@ def linked(members: DataFrame, reps: DataFrame, documents: DataFrame) -> DataFra
     for turn in range(TURNS + 1):
         named = members.withColumn("c", F.col("id")) if label is None else members.join(label.hint("merge"), "id")
         named = named.select("key", "id", "c", F.xxhash64("id", F.col("band") % CENTRES, F.lit(turn)).alias("o"))
-        whole = checkpointed(open_buckets(named))
+        whole = settled(open_buckets(named))
         left = whole.agg(F.sum(F.when(F.col("wide"), F.col("left"))).alias("n")).first().n or 0
         last = turn == TURNS or left <= FEW * size * (turn > 0) or (before is not None and left > GAIN * before)
         before = left
         pairs = candidate_pairs(named, whole.where("not wide") if last else whole)
         if tested is not None:
             pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
+        pairs = settled(pairs)
         tested = pairs.select("a", "b") if tested is None else tested.unionAll(pairs.select("a", "b"))
-        some = checkpointed(agreeing(pairs, reps))
+        some = settled(agreeing(pairs, reps))
         ids = some.select(F.explode(F.array("a", "b")).alias("id"))
-        tiles = checkpointed(tiled(named, whole, reps)) if last and left else None
+        tiles = settled(tiled(named, whole, reps)) if last and left else None
         if tiles is not None:
             ids = ids.unionAll(tiles.select("id"))
-        ids = checkpointed(ids.distinct())
+        ids = settled(ids.distinct())
         if n := ids.count():
             sets = sets_of(ids, n, documents)
             links = confirmed(some, sets)
@@ -321,7 +321,7 @@ def linked(members: DataFrame, reps: DataFrame, documents: DataFrame) -> DataFra
                 links = links.unionAll(tile_links(tiles, sets))
             found = components(links).select(F.col("node").alias("c"), F.col("component").alias("to"))
             known = reps.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("c")) if label is None else label
-            label = checkpointed(known.join(found.hint("merge"), "c", "left").select("id", F.coalesce("to", "c").alias("c")))
+            label = settled(known.join(found.hint("merge"), "c", "left").select("id", F.coalesce("to", "c").alias("c")))
             sets = links = found = known = None
         named = whole = pairs = some = ids = tiles = None
         let_go(documents.sparkSession)
@@ -337,12 +337,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     are one class; copies are never expanded into pairs. Repeated rows get a row each, with
     the same component. Rows of different texts under one id count as one document in links.
     A null doc_id has no component and is kept. Columns other than doc_id and text aren't read."""
-    rows = checkpointed(signed(documents))
+    rows = settled(signed(documents))
     first = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "bands", "low")).alias("s"))
-    reps = checkpointed(first.select("d1", "d2", "s.*"))
+    reps = settled(first.select("d1", "d2", "s.*"))
     buckets = reps.select(F.posexplode("bands").alias("band", "key"), F.col("doc_id").alias("id"))
     several = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    members = checkpointed(buckets.join(several.hint("merge"), "key"))
+    members = settled(buckets.join(several.hint("merge"), "key"))
     label = linked(members, reps, documents)
     known = reps.select("d1", "d2", F.col("doc_id").alias("id"))
     classes = known.select("d1", "d2", F.col("id").alias("c")) if label is None else known.join(label.hint("merge"), "id").select("d1", "d2", "c")

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lamina.llm import bpe, chat, components, lm_score, minhash, packing, quality_net, quality_rules, secret_scan, toxicity, vector_dedup
+from lamina.llm import bpe, chat, common, components, lm_score, minhash, packing, quality_net, quality_rules, secret_scan, toxicity, vector_dedup
 from tests.llm.conftest import ODD
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -441,6 +441,24 @@ def test_minhash_wide_buckets(spark, monkeypatch, gain):
     assert {r.doc_id: r.component_id for r in out} == {i: top(i) for i in range(150)}
 
 
+def events(spark, monkeypatch):
+    """The list that grows by "step" with every checkpoint, and by "gone" whenever the driver's garbage goes."""
+    found, kind = [], type(spark.range(1))
+    collect, checkpoint = common.gc.collect, kind.checkpoint
+    monkeypatch.setattr(common.gc, "collect", lambda *a: (found.append("gone"), collect(*a))[1])
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a, **b: (found.append("step"), checkpoint(self, *a, **b))[1])
+    return found
+
+
+def test_minhash_lets_go_after_each_step(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(12)]
+    found = events(spark, monkeypatch)
+    assert minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("kept").count() == 1
+    assert found.count("step") > 8
+    assert all(x != "step" or y == "gone" for x, y in zip(found, [*found[1:], "end"], strict=True))
+
+
 # ------------------------------------------------ 7 BPE
 
 
