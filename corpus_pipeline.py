@@ -61,4 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/pipeline-{uuid.uuid4().hex}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        common.let_go(spark)  # what the stage left at the driver and on disk
     return docs

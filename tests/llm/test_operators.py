@@ -629,3 +629,13 @@ def test_pipeline(spark):
     left = {r.doc_id for r in d.collect()}
     packed = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in packed.collect()} == left
+
+
+def test_pipeline_lets_go_after_each_stage(spark, monkeypatch):
+    import corpus_pipeline
+
+    found = events(spark, monkeypatch)
+    stages = [(str(i), lambda spark, docs, sf_dir, i=i: (found.append(i), docs)[1]) for i in range(3)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == 200
+    assert [x for i, x in enumerate(found) if x != "gone" or found[i - 1 : i] != ["gone"]] == [0, "gone", 1, "gone", 2, "gone"]
