@@ -132,9 +132,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def platt(scores: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]:
-    """Slope and intercept of the logistic curve from raw scores to labels (Newton, with Platt's soft targets)."""
-    pos, neg = float((y == 1).sum()), float((y == 0).sum())
+def platt(scores: np.ndarray, y: np.ndarray, steps: int = 200, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve from raw scores to labels (Newton, with Platt's soft targets); a score of weight n counts n times."""
+    weight = np.ones(len(scores)) if weight is None else weight
+    pos, neg = float(weight[y == 1].sum()), float(weight[y == 0].sum())
     if not pos or not neg:
         return 0.0, float(np.log((pos + 1) / (neg + 1)))
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
@@ -143,13 +144,13 @@ def platt(scores: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, f
 
     def loss(w):
         z = x @ w
-        return float(np.sum(np.logaddexp(0, z) - t * z))
+        return float(np.sum(weight * (np.logaddexp(0, z) - t * z)))
 
     last = loss(w)
     for _ in range(steps):
         p = sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2)
-        move = np.linalg.solve(h, x.T @ (p - t))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2)
+        move = np.linalg.solve(h, x.T @ (weight * (p - t)))
         rate = 1.0
         while rate > 1e-6 and loss(w - rate * move) > last:
             rate /= 2

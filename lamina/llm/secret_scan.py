@@ -5,26 +5,27 @@ Candidates are runs of key-like characters of length 16 or more, and values of 4
 characters after any word with : or =, quoted ones whole. The network sees a candidate's two ends and the text
 around it, one-hot by character class and folded byte; along a longer candidate the window
 moves on by half of what it sees, and the largest probability counts. It learns from labelled
-findings: of all documents, the spans of the fixed patterns are positives and other candidates
-negatives, a bounded number of each, with made keys and with decoys made from ordinary words
-and common number formats. Its threshold is the highest that keeps the asked recall on
-held-back findings.
+findings: of all documents, all spans of the fixed patterns are positives and all other candidates
+negatives, with made keys and with decoys made from ordinary words and common number formats,
+on which it starts at the driver. Tasks train it on over their own cases and their parameters
+are averaged. A quarter of the cases only calibrates; the threshold is the highest that keeps
+the asked recall on held-back findings.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, checkpointed, platt, sigmoid, small_batches, smallest, texts_of
+from .common import arrow_pass, checkpointed, platt, sigmoid, small_batches, texts_of
 
 KINDS = ("assign", "access", "hex", "net")
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -36,10 +37,16 @@ VALUE = re.compile(r"""[:=][ \t]*(?:"([^"\n]{4,})"|'([^'\n]{4,})'|([^\s"'<>,;]{4
 KEY = re.compile(r"""[A-Za-z_][A-Za-z0-9_.-]*["']?[ \t]*$""")
 #: An ASSIGN match holds one of these, whatever its case.
 HINTS = ("passw", "secret", "token", "apikey", "api_key")
-#: Findings and other candidates of the fit, context on each side, characters of a candidate's two ends.
-FIT_ROWS, AROUND, END = 3000, 24, 24
+#: Context on each side, characters of a candidate's two ends.
+AROUND, END = 24, 24
 WIDTH = 2 * AROUND + 2 * END
 RECALL = 0.99
+#: Passes over all cases, a task's epochs in each, cases that a task holds at once, and groups in which tasks' networks are averaged.
+ROUNDS, EPOCHS, BLOCK, GROUPS = 5, 3, 50_000, 16
+#: Share of made cases in each class's weight.
+MADE = 0.3
+#: Bins of held-back scores, for each unit.
+BINS = 100
 CHANNELS, TAPS, FILTERS = 40, 5, 16
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_net long, max_prob double"
 #: Channel of each folded byte: letters, digits, and signs that keys and assignments use; the rest by class.
@@ -117,11 +124,14 @@ class Net:
         pooled = np.concatenate([top, mean], 1).reshape(len(x), -1)
         return pooled @ self.p["o"] + self.p["d"][0], pooled, a, best, quarters
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 4e-3) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 4e-3, weight: np.ndarray | None = None) -> None:
+        """Adam over the cases; unless given, weights are such that both classes weigh the same."""
         g = np.random.default_rng(9)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step, weight = 0, np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
+        step = 0
+        if weight is None:
+            weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
         for _ in range(epochs):
             order = g.permutation(len(y))
             for i in range(0, len(y), batch):
@@ -261,27 +271,124 @@ def labelled(texts: list[str]) -> Iterator[tuple[int, str, int, int]]:
                 yield from ((0, *v) for v in views(t, a, b))
 
 
-def train(documents: DataFrame, fit_rows: int = FIT_ROWS) -> Net:
-    """The network, from at most fit_rows findings of the fixed patterns and as many other candidates: those of the smallest hashes over all documents."""
+def all_cases(documents: DataFrame) -> DataFrame:
+    """(y, held, x): label, hold-out and channels of every window of the texts; equal windows are held back or not together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[list, list] = ([], [])
         for batch in batches:
-            for label, text, a, b in labelled(texts_of(batch)):
-                h = xxhash.xxh3_64_intdigest(text.encode()) >> 1  # 63 bits
-                if len(kept[label]) < fit_rows:
-                    heapq.heappush(kept[label], (-h, text, a, b))
-                elif -kept[label][0][0] > h:
-                    heapq.heapreplace(kept[label], (-h, text, a, b))
-        for label in (0, 1):
-            if kept[label]:
-                h, text, a, b = zip(*kept[label], strict=True)
-                yield pa.RecordBatch.from_pydict({"y": pa.array([label] * len(h), pa.int32()), "h": pa.array([-x for x in h], pa.int64()), "t": pa.array(text), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32())})
+            found = list(labelled(texts_of(batch)))
+            x = [w.tobytes() for w in windows([c[1:] for c in found]).astype(np.uint8)]
+            held = [xxhash.xxh3_64_intdigest(w) % 4 == 0 for w in x]
+            yield pa.RecordBatch.from_pydict({"y": pa.array([c[0] for c in found], pa.int32()), "held": pa.array(held, pa.bool_()), "x": pa.array(x, pa.binary())})
 
     small_batches(documents.sparkSession)
-    found = checkpointed(documents.select("text").mapInArrow(run, "y int, h long, t string, a int, b int"))
-    rows = smallest(found, "y", fit_rows).collect()  # at most 2 * fit_rows rows
-    return fit([(r.t, r.a, r.b) for r in rows], [r.y for r in rows])
+    return checkpointed(documents.select("text").mapInArrow(run, "y int, held boolean, x binary"))
+
+
+def _channels_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH)
+
+
+def made_cases() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, labels and hold-out of the decoys and made keys, as fit() deals them."""
+    keys, others = key_samples(), decoys()
+    y = np.array([0] * len(others) + [1] * len(keys))
+    return windows([*others, *keys]).astype(np.uint8), y, np.random.default_rng(12).random(len(y)) < 0.25
+
+
+def one_round(cases: DataFrame, net: Net, count: dict[int, int], rate: float) -> None:
+    """Every task trains the network over all its cases, mixed with made ones; its parameters become the mean of theirs, by their number of cases."""
+    start, names, every = net.p, list(net.p), sum(count.values())
+    part = {y: 1 - MADE if count.get(y) else 0.0 for y in (0, 1)}
+    made_x, made_y, made_held = made_cases()
+    made_x, made_y = made_x[~made_held], made_y[~made_held]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, done, g = Net(), 0, np.random.default_rng(TaskContext.get().partitionId())
+        own.p = {k: v.copy() for k, v in start.items()}
+
+        def learn(x: np.ndarray, y: np.ndarray) -> None:
+            weight = np.array([0.5 * part[k] * every / max(count.get(k, 0), 1) for k in (0, 1)])[y]
+            more = [g.permutation(np.flatnonzero(made_y == k))[: max(1, len(y))] for k in (0, 1)]
+            extra = [np.full(len(m), 0.5 * (1 - part[k]) * len(y) / len(m)) for k, m in enumerate(more)]
+            more = np.concatenate(more)
+            own.fit(np.concatenate([x, made_x[more]]), np.concatenate([y, made_y[more]]), EPOCHS, rate=rate, weight=np.concatenate([weight, *extra]))
+
+        xs, ys, n = [], [], 0
+        for batch in batches:
+            xs.append(_channels_of(batch.column(1)))
+            ys.append(batch.column(0).to_numpy())
+            n += len(ys[-1])
+            if n >= BLOCK:
+                learn(np.concatenate(xs), np.concatenate(ys))
+                xs, ys, n, done = [], [], 0, done + n
+        if n:
+            learn(np.concatenate(xs), np.concatenate(ys))
+        if done + n:
+            flat = np.concatenate([own.p[k].ravel() for k in names]) * (done + n)
+            yield pa.RecordBatch.from_pydict({"g": pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), "n": pa.array([done + n], pa.int64()), "p": pa.array([flat.tobytes()], pa.binary())})
+
+    def total(rows: pa.Table) -> pa.Table:
+        flat = sum(np.frombuffer(p, np.float64) for p in rows.column("p").to_pylist())
+        return pa.table({"n": pa.array([sum(rows.column("n").to_pylist())], pa.int64()), "p": pa.array([flat.tobytes()], pa.binary())})
+
+    tasks = cases.where("not held").select("y", "x").mapInArrow(run, "g int, n long, p binary")
+    rows = tasks.groupBy("g").applyInArrow(total, "n long, p binary").collect()  # at most GROUPS rows
+    if rows:
+        flat, at = sum(np.frombuffer(r.p, np.float64) for r in rows) / sum(r.n for r in rows), 0
+        net.p = {}
+        for k in names:
+            net.p[k] = flat[at : at + start[k].size].reshape(start[k].shape).copy()
+            at += start[k].size
+
+
+def calibrate(cases: DataFrame, net: Net) -> None:
+    """Calibration and threshold from all held-back cases and the made ones held back, whose scores come as a histogram."""
+    own = Net()
+    own.p = net.p
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _channels_of(batch.column(1))
+            if len(x):
+                yield pa.RecordBatch.from_pydict({"y": batch.column(0), "z": pa.array(np.clip(own.forward(x)[0], -40, 40))})
+
+    z = cases.where("held").select("y", "x").mapInArrow(scores, "y int, z double")
+    bins = z.groupBy("y", F.floor(F.col("z") * BINS).alias("at")).agg(F.count("*").alias("n"), F.avg("z").alias("mean"), F.min("z").alias("low")).collect()  # at most 2 * 80 * BINS rows
+    made_x, made_y, made_held = made_cases()
+    made_z = np.clip(own.forward(made_x[made_held])[0], -40, 40)
+    y = np.concatenate([np.array([r.y for r in bins], np.int64), made_y[made_held]])
+    n = np.concatenate([np.array([r.n for r in bins], np.float64), np.ones(len(made_z))])
+    mean, low = (np.concatenate([np.array([r[k] for r in bins], np.float64), made_z]) for k in ("mean", "low"))
+    made = np.arange(len(y)) >= len(bins)
+    weight = n.copy()
+    for k in (0, 1):  # both classes weigh the same, made cases MADE of each
+        for kind in (False, True):
+            here, other = (y == k) & (made == kind), ((y == k) & (made != kind)).any()
+            weight[here] *= 0.5 * n.sum() * ((MADE if kind else 1 - MADE) if other else 1) / max(n[here].sum(), 1)
+    slope, net.shift = platt(mean, y, weight=weight)
+    net.slope = max(slope, 1e-3)
+    cut = 40.0
+    for kind in (False, True):  # the asked recall is kept among the texts' findings and among the made ones
+        good = np.flatnonzero((y == 1) & (made == kind))
+        if len(good):
+            good = good[np.argsort(low[good], kind="stable")]
+            missed = np.concatenate([[0.0], np.cumsum(n[good])[:-1]])
+            cut = min(cut, low[good[np.flatnonzero(missed <= (1 - RECALL) * n[good].sum())[-1]]])
+    net.threshold = float(sigmoid(net.slope * cut + net.shift))
+    found, pos = low >= cut, y == 1
+    net.report = {"findings": int(n[pos].sum()), "recall": float(n[pos & found].sum() / n[pos].sum()), "precision": float(n[pos & found].sum() / n[found].sum())}
+
+
+def train(documents: DataFrame) -> Net:
+    """The network, from all findings of the fixed patterns and all other candidates of the documents; it starts from made cases alone."""
+    net = fit([], [])
+    cases = all_cases(documents)
+    count = {r.y: r["count"] for r in cases.where("not held").groupBy("y").count().collect()}
+    for i in range(ROUNDS if count else 0):
+        one_round(cases, net, count, 2e-3 / (1 + i))
+    calibrate(cases, net)
+    return net
 
 
 class Scanner:

@@ -376,6 +376,22 @@ def test_secret_net_tells_keys_from_words():
     assert (net.probability(secret_scan.windows(secret_scan.decoys(seed=98, n=60))) >= net.threshold).mean() < 0.1
 
 
+def test_secret_net_learns_from_all(spark):
+    """Every finding and every other candidate counts, however many; made keys are still told from decoys."""
+    g = np.random.default_rng(5)
+    keys = ["AKIA" + "".join(k) for k in g.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), (6000, 16))]
+    rows = [(i, f"the key {k} was here, colour: blueish{i}") for i, k in enumerate(keys)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cases = secret_scan.all_cases(documents)
+    assert {r.y: r["count"] for r in cases.groupBy("y").count().collect()} == {0: 6000, 1: 6000}
+    net = secret_scan.train(documents)
+    assert net.report["findings"] == cases.where("held and y = 1").count() + int(secret_scan.made_cases()[2][1200:].sum()) > 1500
+    assert net.report["recall"] >= secret_scan.RECALL
+    assert (net.probability(secret_scan.windows(secret_scan.key_samples(seed=99, n=60))) >= net.threshold).mean() > 0.8
+    assert (net.probability(secret_scan.windows(secret_scan.decoys(seed=98, n=60))) >= net.threshold).mean() < 0.1
+    assert not any(r.n_net for r in secret_scan.secret_scan(documents, net).collect())
+
+
 # ------------------------------------------------ 6 MinHash
 
 
