@@ -243,3 +243,48 @@ def test_cells_and_scripts(spark):
     r = d.select(T.cell(F.col("c")).alias("c"), T.clean_inline(F.col("t")).alias("t")).first()
     assert r.c == "a\\|b $x\\vert y$ $p\\Vert q$"
     assert r.t == "x$^{n}$¹² k <section>"
+
+
+def _texts(spark):
+    rows = [(i, f"w{i % 3} w{i % 5} w{i % 5} common") for i in range(40)] + [(50, "the of"), (51, None), (52, ""), (60, "w1 w2"), (60, ""), (60, "w2 w9"), (61, ""), (61, None)]
+    return spark.createDataFrame(rows, "chunk_id long, text string")
+
+
+def test_index_counts_and_scores_without_shuffles(spark):
+    """Only sums a term cross tasks: no posting and no score of a chunk does."""
+    index = bm25.build(_texts(spark).where("chunk_id < 60"))
+    terms = bm25.query_terms(spark.createDataFrame([(1, "w1 w2 w2"), (2, "w4 missing")], "query_id int, query string"))
+    for d in (index.postings, bm25.scores(terms, index)):
+        assert "Exchange hash" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_scores_against_loops(spark, tmp_path, monkeypatch, stem):
+    from collections import Counter
+    from math import log
+
+    chunks = _texts(spark)
+    index = bm25.build(chunks, stem)
+    bags = {}
+    for i, text in [tuple(r) for r in chunks.collect()]:
+        bags.setdefault(i, []).append([w for w in (text or "").split() if w not in ("the", "of")])
+    bags = {i: Counter([w for p in parts for w in p] or [bm25.SENTINEL] * len(parts)) for i, parts in bags.items()}
+    assert {(r.chunk_id, r.term): (r.dl, r.tf) for r in index.postings.collect()} == {(i, w): (b.total(), n) for i, b in bags.items() for w, n in b.items()}
+    mean = sum(b.total() for b in bags.values()) / len(bags)
+    wanted = {}
+    for q, words in ((1, ["w1", "w2", "w2"]), (2, ["w4", "common"])):
+        for i, b in bags.items():
+            idf = lambda w: log(1 + (len(bags) - sum(w in x for x in bags.values()) + 0.5) / (sum(w in x for x in bags.values()) + 0.5))
+            s = sum(idf(w) * b[w] / (b[w] + 1.2 * (0.25 + 0.75 * b.total() / mean)) for w in words if w in b)
+            if s:
+                wanted[q, i] = round(s, 9)
+    terms = bm25.query_terms(spark.createDataFrame([(1, "w1 w2 w2"), (2, "w4 common")], "query_id int, query string"), stem)
+    same = lambda d: {(r.query_id, r.chunk_id): round(r.score, 9) for r in d.collect()}
+    ranks = lambda d: sorted((r.query_id, r.rank, r.chunk_id) for r in bm25.top(d, 3).collect())
+    bm25.save(index, chunks, str(tmp_path))
+    best = sorted((q, n + 1, i) for q in (1, 2) for n, (_, i) in enumerate(sorted((-s, i) for (p, i), s in wanted.items() if p == q)[:3]))
+    for cells, weights, sent in ((2_000_000, 500_000, 1_000_000), (7, 1, 0)):
+        monkeypatch.setattr(bm25, "CELLS", cells), monkeypatch.setattr(bm25, "WEIGHTS", weights), monkeypatch.setattr(bm25, "SENT", sent)
+        for x in (index, bm25.load(spark, str(tmp_path))):
+            assert same(bm25.scores(terms, x)) == wanted
+            assert ranks(bm25.scores(terms, x, best=3)) == best
