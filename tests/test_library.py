@@ -288,3 +288,22 @@ def test_scores_against_loops(spark, tmp_path, monkeypatch, stem):
         for x in (index, bm25.load(spark, str(tmp_path))):
             assert same(bm25.scores(terms, x)) == wanted
             assert ranks(bm25.scores(terms, x, best=3)) == best
+
+
+def test_index_is_saved_from_two_passes_over_texts(spark, tmp_path):
+    """Postings and lengths; the test for repeated ids and the stamp read no words. A range of terms would cost a pass more."""
+    passes = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            passes.add(b.num_rows)
+            yield b
+
+    chunks = _texts(spark).where("chunk_id < 60").coalesce(1)
+    index = bm25.build(chunks)
+    index.words = index.words.mapInArrow(count, index.words.schema)
+    index.postings = bm25._postings(index.words)
+    bm25.save(index, chunks, str(tmp_path))
+    assert passes.value == chunks.count()
+    stored = bm25.load(spark, str(tmp_path))
+    assert sorted(stored.terms.collect()) == sorted(index.terms.collect()) and stored.totals.collect() == index.totals.collect()
