@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DataType, StructField, StructType
 
+from .bm25 import small_batches
+
 
 def running(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Callable, name: str, kind: DataType) -> DataFrame:
     """rows with a column of what step gives along the rows of each key, in order.
@@ -31,4 +33,5 @@ def running(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str
                 made.append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, to_arrow_type(kind))], names=[*batch.schema.names, name])
 
+    small_batches(rows.sparkSession)
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, out)

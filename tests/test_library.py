@@ -307,3 +307,10 @@ def test_index_is_saved_from_two_passes_over_texts(spark, tmp_path):
     assert passes.value == chunks.count()
     stored = bm25.load(spark, str(tmp_path))
     assert sorted(stored.terms.collect()) == sorted(index.terms.collect()) and stored.totals.collect() == index.totals.collect()
+
+
+def test_missing_ids_need_no_texts(spark):
+    from lamina.plans import queries
+
+    plan = queries.QUERIES["segment_missing"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
