@@ -314,3 +314,34 @@ def test_missing_ids_need_no_texts(spark):
 
     plan = queries.QUERIES["segment_missing"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan
+
+
+def test_pages_matched_against_loops(spark, monkeypatch):
+    """Every pair compared, as the rule says; the operator compares fewer."""
+    import random
+
+    from lamina.functions import python as P
+
+    g, box = random.Random(5), ("x0", "y0", "x1", "y1")
+    made = lambda kind, n: [(d, p, kind(i), g.choice([None, "", "ab" * g.randrange(4), "abc" * 150, "xyz"]), 0, y := g.randrange(3) * 10, 50, y + 10) for d in (1, None) for p in (1, 2) for i in range(n)]
+    b, i = made(int, 6), made(lambda x: f"i{x}", 5)
+    wanted = []
+    for key in {r[:2] for r in b}:
+        used = set()
+        for x in [r for r in b if r[:2] == key]:
+            best, at = align.LEAST, None
+            for y in [r for r in i if r[:2] == key and r[2] not in used]:
+                w = max(0, min(x[6], y[6]) - max(x[4], y[4])) * max(0, min(x[7], y[7]) - max(x[5], y[5]))
+                s = 0.6 * P.indel_ratio((x[3] or "")[:400], (y[3] or "")[:400]) / 100 + 0.4 * (w / (500 + 500 - w))
+                if s > best or at is None and s >= best:
+                    best, at = s, y[2]
+            if at is not None:
+                used.add(at)
+                wanted.append((*key, x[2], at, best))
+    kinds = ", ".join(f"{c} int" for c in box)
+    got = align.matched(spark.createDataFrame(b, f"doc_id long, page int, block_no int, text string, {kinds}"), spark.createDataFrame(i, f"doc_id long, page int, item_id string, source string, {kinds}"))
+    assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in got.collect())
+    rows = [[r | {"text": "a" * 400, "source": "a" * 400} for r in (dict(zip(("block_no", *box), (n, 0, n * 20, 50, n * 20 + 10))) | {"item_id": f"i{n}"} for n in range(12))]] * 2
+    calls = []
+    monkeypatch.setattr(P, "indel_ratio", lambda a, b, f=P.indel_ratio: calls.append(1) or f(a, b))
+    assert len(align.chosen(*rows)) == 12 and len(calls) == 12
